@@ -41,9 +41,9 @@ BLOCK_ROWS = 8192
 #: Lists searched per query; nearest lists searched outside the query's own block too.
 PROBES, FAR = 4, 2
 #: Parts a residual is cut into, entries of each part's codebook.
-PARTS, CODES = 32, 64
+PARTS, CODES = 48, 64
 #: Candidates scored exactly per query and block.
-RERANK = 24
+RERANK = 64
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
