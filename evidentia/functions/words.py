@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: an unbroken run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
 
+#: White space in any script, for a character class of either regular-expression dialect.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
 #: The same for Python's ``re``.
 WORD_RE = re.compile(r"[^\W_]+")
 
