@@ -3,7 +3,7 @@
 A window is a run of ``length`` words. Its anchor is the least hash among the short runs of
 words (``gram``) inside it, so equal windows have equal anchors wherever they stand, and
 neighbouring windows mostly share one: the index holds each record's distinct anchors, about one
-in ``(length - gram) / 2`` words, instead of all windows.
+in ``(length - gram + 2) / 2`` words, instead of all windows.
 
 ``SpanIndex`` keeps them in immutable runs, bucketed by the anchor and sorted inside each bucket.
 A new batch writes one run; finding anchors of several records is a merge of the sorted runs
@@ -63,7 +63,7 @@ def _windows(codes: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
 class SpanIndex:
     """Sorted runs of (anchor, record); ``length`` words make a span."""
 
-    def __init__(self, spark: SparkSession, length: int = 40, gram: int = 8, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, length: int = 40, gram: int = 16, buckets: int | None = None):
         self.spark, self.length, self.gram = spark, length, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
