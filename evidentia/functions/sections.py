@@ -42,7 +42,7 @@ def markdown_sections(text: str | None) -> list[dict]:
     """Sections under ATX headings; bodies that are blank are left out. Text without a heading has none."""
     marks = list(_HEAD.finditer(text or ""))
     ends = [m.start() for m in marks[1:]] + [len(text or "")]
-    found = [(m.group(2).strip(), text[m.end() : e].strip()) for m, e in zip(marks, ends, strict=True)]
+    found = [(m.group(2).strip(), text[m.end() : e].strip()) for m, e in zip(marks, ends, strict=False)]
     return [{"id": f"S{n}", "kind": "section", "title": t, "text": b} for n, (t, b) in enumerate(((t, b) for t, b in found if b), 1)]
 
 

@@ -54,7 +54,7 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
     full = rows.drop("candidates").join(named, ["source_id", "line"], "left").join(known, ["source_id", "hash"], "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, overlay, opened, out = set(), [], {}, []
+        seen, overlay, texts, out = set(), [], {}, []
         for r in pdf.sort_values("line").itertuples():
             if r.stored is True or r.hash in seen:
                 out.append((r.source_id, r.line, None, None, "duplicate", None))
@@ -70,9 +70,9 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
                 for arm in arms:
                     for place, idea in enumerate(arm, 1):
                         score[idea] = score.get(idea, 0.0) + 1 / (RRF_K + place)
-                text_of = opened | dict(stored)
+                texts.update(stored)
                 order = sorted(score, key=lambda i: (-score[i], i))[:CANDIDATES]
-                choice = arbiter.choose(r.text, [{"idea_id": i, "text": text_of[i]} for i in order]) if order else -1
+                choice = arbiter.choose(r.text, [{"idea_id": i, "text": texts[i]} for i in order]) if order else -1
                 if not isinstance(choice, int) or isinstance(choice, bool) or not -1 <= choice < len(order):
                     raise ValueError(f"the arbiter answered {choice!r} for {len(order)} candidates")
             except Exception as e:  # noqa: BLE001 - whatever went wrong, the row waits
@@ -81,7 +81,7 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
             mark = hashlib.sha1(f"{r.source_id}|{r.hash}".encode()).hexdigest()[:12]
             idea = order[choice] if choice >= 0 else f"idea_{mark}"
             if choice < 0:
-                opened[idea] = r.text
+                texts[idea] = r.text
             seen.add(r.hash)
             if r.vec is not None:
                 overlay.append((r.vec, idea))
