@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.scratch import materialise
+
 #: Weight of trust in the score, and share of the answer that untrusted ideas may fill.
 TRUST_WEIGHT, UNTRUSTED_SHARE = 0.0, 0.2
 
@@ -55,7 +57,8 @@ def retrieve(lifted: DataFrame, ideas: DataFrame, edges: DataFrame, k: int = 5)
     Accepted candidates come first; free places go to neighbours in the graph (``edge``, score of
     trust alone), then to untrusted candidates over the quota (``padding``).
     """
-    scored = apply_quota(score(lifted, ideas), k)
+    # Walked four times below: once per stage of the answer.
+    scored = materialise(apply_quota(score(lifted, ideas), k), "scored")
     taken = F.coalesce(F.col("place") <= k, F.lit(False))
     per_query = W.partitionBy("query_id")
     marked = scored.withColumn("free", F.lit(k) - F.sum(taken.cast("int")).over(per_query)).withColumn("taken", taken)

@@ -1,13 +1,15 @@
 """Lexical and vector retrieval and their fusion, for a batch of queries at a time.
 
-Queries are a small DataFrame ``query_id, query, qvec``. The index side is never collected: the
-lexical arm is an equi-join of the queries' terms with the postings, the vector arm scores each
-vector against the broadcast queries inside the scan and keeps the best k per task before the
-shuffle (``WindowGroupLimit``).
+Queries are a small DataFrame ``query_id, query, qvec``. The index side is never collected: both
+arms send the queries, of checked number, to the scan of the index, score whole Arrow batches there
+and keep the best k of each batch, so that what is shuffled depends on k and not on the index.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,8 @@ from evidentia.functions.vectors import dot
 #: Constant of reciprocal rank fusion, and the two of BM25.
 RRF_K, K1, B = 60, 1.2, 0.75
 
-#: Largest number of queries whose rows are broadcast to the scans.
-QUERY_BATCH = 10_000
+#: Most queries that are sent to the scans at a time, most cells of their term matrix, cells scored at once.
+QUERY_BATCH, QUERY_CELLS, SCORE_CELLS = 10_000, 8 << 20, 4 << 20
 
 TERM = r"[\p{L}\p{N}_]+"
 
@@ -37,17 +39,71 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 50) -> DataFrame:
-    """``query_id, key, bm25, bm25_rank``; only postings of query terms are kept from the scan on."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    """``query_id, key, bm25, bm25_rank``: the ``k`` best texts of each query.
+
+    Up to ``QUERY_BATCH`` queries (and ``QUERY_CELLS`` query-term cells) are sent to the scan, which scores whole
+    Arrow batches of texts with one matrix product and passes on its best ``k`` per query; more
+    queries are joined with the postings instead. Texts without a term of a query are no hits.
+    """
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).where(F.size("t") > 0)
+    some = asked.limit(QUERY_BATCH + 1).toPandas()
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts in some.t for t in ts}))}
+    if len(some) > QUERY_BATCH or len(some) * len(vocabulary) > QUERY_CELLS:
+        return _bm25_by_join(docs, asked, key, text, k)
+    scan = docs.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("t"))
+    stats = scan.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("len")).first()
+    words = docs.sparkSession.createDataFrame([(t, i) for t, i in vocabulary.items()], "term string, i int")
+    found = scan.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(words), "term").groupBy("i").agg(F.count("*").alias("df"))
+    df = {r.i: r.df for r in found.collect()}  # one row per term of the queries
+    idf = np.array([max(math.log((stats.n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) if i in df else 0.0 for i in range(len(vocabulary))])
+    weights = np.zeros((len(vocabulary), len(some)))
+    for q, ts in enumerate(some.t):
+        for t in ts:
+            weights[vocabulary[t], q] = 1.0
+    weights *= idf[:, None]
+    names, mean = some.query_id.to_numpy(), stats["len"] or 1.0
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, bm25 double"
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    rows = max(16, SCORE_CELLS // max(1, len(some)))
+
+    def score(batches):
+        vocabulary, weights = shipped.value
+        for whole in batches:
+            for lo in range(0, len(whole), rows):
+                b = whole.iloc[lo : lo + rows]
+                scores = np.zeros((len(b), weights.shape[1]))
+                for d, ts in enumerate(b.t):
+                    tf = Counter(vocabulary[t] for t in ts if t in vocabulary)
+                    if tf:
+                        n = np.fromiter(tf.values(), float, len(tf))
+                        scores[d] = (n * (K1 + 1) / (n + K1 * (1 - B + B * len(ts) / mean))) @ weights[list(tf)]
+                yield _best(scores.T.round(6), names, b[key].to_numpy(), k, key, "bm25", 0.0)
+
+    best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
+    return scan.mapInPandas(score, kinds).withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k)
+
+
+def _best(scores: np.ndarray, queries: np.ndarray, keys: np.ndarray, k: int, key: str, name: str, above: float = -np.inf) -> pd.DataFrame:
+    """The ``k`` greatest scores of each row (all that tie at the last place), if above a bound."""
+    if scores.shape[1] > k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        at, who = np.nonzero((scores >= least) & (scores > above))
+    else:
+        at, who = np.nonzero(scores > above)
+    return pd.DataFrame({"query_id": queries[at], key: keys[who], name: scores[at, who] + 0.0})
+
+
+def _bm25_by_join(docs: DataFrame, asked: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    asked = asked.select("query_id", F.explode("t").alias("term"))
     scan = docs.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("t"))
-    stats = scan.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    rows = scan.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    stats = scan.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))  # one row
+    rows = scan.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term")
     tf = rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", key, weight.alias("w"))
-    total = scored.join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("bm25"))
+    total = scored.join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("bm25"))
     best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
     return total.withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k)
 
@@ -81,12 +137,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: i
                 continue
             ids = b[key].to_numpy()
             scores = (q @ np.stack(b[vec].to_numpy()).astype(np.float64).T).round(6)
-            if scores.shape[1] > k:
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                at, who = np.nonzero(scores >= least)
-            else:
-                at, who = np.indices(scores.shape).reshape(2, -1)
-            yield pd.DataFrame({"query_id": names[at], key: ids[who], "cosine": scores[at, who] + 0.0})
+            yield _best(scores, names, ids, k, key, "cosine")
 
     best = W.partitionBy("query_id").orderBy(F.desc("cosine"), key)
     return rows.mapInPandas(scan, kinds).withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= k)

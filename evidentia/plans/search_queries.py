@@ -134,10 +134,11 @@ def trust_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answer(spark: SparkSession, d: str) -> DataFrame:
-    # The pairs are used twice in the plan below; a written table keeps the search from running twice.
+    # Used several times in the plan below; written tables keep the search from running again.
     lifted = materialise(_lifted(spark, d), "lifted")
     edges = materialise(graph.both_directions(graph.cocitation(model.leaves(spark, d, "id", "source_id", "idea_id"))), "edges")
-    return rank.retrieve(lifted, model.scored_ideas(spark, d), edges, 5)
+    ideas = materialise(model.scored_ideas(spark, d), "trust")
+    return rank.retrieve(lifted, ideas, edges, 5)
 
 
 @query("SELECT query_id, idea_id, score, raw_score, trust, via, row_number() OVER (PARTITION BY query_id ORDER BY CASE via WHEN 'thesis' THEN 1 WHEN 'edge' THEN 2 WHEN 'padding' THEN 3 ELSE 4 END, position) AS rank FROM answer")
