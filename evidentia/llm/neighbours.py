@@ -41,9 +41,9 @@ BLOCK_ROWS = 8192
 #: Lists searched per query; nearest lists searched outside the query's own block too.
 PROBES, FAR = 4, 2
 #: Parts a residual is cut into, entries of each part's codebook.
-PARTS, CODES = 48, 64
+PARTS, CODES = 96, 64
 #: Candidates scored exactly per query and block.
-RERANK = 64
+RERANK = 128
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
@@ -246,56 +246,64 @@ def _search_block(index: VectorIndex, table: pa.Table, dim: int, k: int) -> pa.T
     names, first = np.unique(lists[kept], return_index=True)
     last = np.append(first[1:], len(kept))
     where = {int(n): (int(a), int(b)) for n, a, b in zip(names, first, last, strict=True)}
-    probes = table["probes"].to_pylist()
-    asks: dict[int, list[int]] = {}
-    for q, wanted in enumerate(probes):
+    asks: dict[int, list[tuple[int, int]]] = {}
+    slots = 0
+    for q, wanted in enumerate(table["probes"].to_pylist()):
+        slot = 0
         for one in wanted:
             if one in where:
-                asks.setdefault(one, []).append(q)
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                asks.setdefault(one, []).append((q, slot))
+                slot += 1
+        slots = max(slots, slot)
+    if not slots:
+        return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+    # Per query, and per list it probes, the best codes of the list so far.
+    score = np.full((len(ids), slots, RERANK), -np.inf, np.float32)
+    which = np.zeros((len(ids), slots, RERANK), np.int32)
     for one, queries in asks.items():
         a, b = where[one]
         for qlo in range(0, len(queries), 512):
-            q = np.array(queries[qlo : qlo + 512])
-            table_q = index.tables(unit[q])
+            q, slot = np.array(queries[qlo : qlo + 512]).T
+            tables = index.tables(unit[q])
             base = unit[q] @ index.centroids[one]
             for dlo in range(a, b, 4096):
                 dhi = min(b, dlo + 4096)
-                score = np.zeros((dhi - dlo, len(q)), np.float32)
+                sums = np.zeros((dhi - dlo, len(q)), np.float32)
                 for m in range(PARTS):
-                    score += table_q[m].take(codes[dlo:dhi, m], axis=0)
-                score = np.ascontiguousarray(score.T)
-                take = min(RERANK, score.shape[1])
-                top = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < score.shape[1] else np.broadcast_to(np.arange(take), score.shape)
-                got.append((np.repeat(q, take), kept[dlo + top].ravel(), (np.take_along_axis(score, top, 1) + base[:, None]).ravel()))
-    if not got:
-        return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-    q, c, s = (np.concatenate(z) for z in zip(*got, strict=True))
-    other = ids[q] != ids[c]
-    q, c, s = q[other], c[other], s[other]
-    order = np.lexsort((-s, q))
-    q, c = q[order], c[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    q, c = q[rank < RERANK], c[rank < RERANK]
-    exact = np.empty(len(q), np.float64)
-    for lo in range(0, len(q), 16384):
-        exact[lo : lo + 16384] = np.einsum("ij,ij->i", unit[q[lo : lo + 16384]], unit[c[lo : lo + 16384]])
-    order = np.lexsort((-exact, q))
-    q, c = q[order], c[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    # Single precision has chosen k + 4 (it errs by about 1e-7); double precision ranks them.
-    q, c = q[rank < k + 4], c[rank < k + 4]
-    exact = np.empty(len(q), np.float64)
-    for lo in range(0, len(q), 8192):
-        u, v = x[q[lo : lo + 8192]].astype(np.float64), x[c[lo : lo + 8192]].astype(np.float64)
-        size = np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v))
-        exact[lo : lo + 8192] = np.einsum("ij,ij->i", u, v) / size
-    exact = np.round(exact, 9)
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    best = rank < k
-    return pa.table({"id": pa.array(ids[q[best]], pa.int64()), "other": pa.array(ids[c[best]], pa.int64()), "similarity": pa.array(exact[best])})
+                    sums += tables[m].take(codes[dlo:dhi, m], axis=0)
+                sums = np.ascontiguousarray(sums.T) + base[:, None]
+                sums[ids[q][:, None] == ids[kept[dlo:dhi]][None, :]] = -np.inf
+                rows = np.broadcast_to(kept[dlo:dhi].astype(np.int32), sums.shape)
+                if dlo > a:
+                    sums, rows = np.concatenate([score[q, slot], sums], 1), np.concatenate([which[q, slot], rows], 1)
+                if sums.shape[1] > RERANK:
+                    top = np.argpartition(-sums, RERANK - 1, axis=1)[:, :RERANK]
+                    sums, rows = np.take_along_axis(sums, top, 1), np.take_along_axis(rows, top, 1)
+                score[q, slot, : sums.shape[1]] = sums
+                which[q, slot, : sums.shape[1]] = rows
+    score, which = score.reshape(len(ids), -1), which.reshape(len(ids), -1)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(ids), 64):
+        s, w = score[lo : lo + 64], which[lo : lo + 64]
+        if s.shape[1] > RERANK:
+            top = np.argpartition(-s, RERANK - 1, axis=1)[:, :RERANK]
+            s, w = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        near = (unit[w] @ unit[lo : lo + 64, :, None])[:, :, 0]
+        near[s == -np.inf] = -np.inf
+        # Single precision chooses k + 4 (it errs by about 1e-7); double precision ranks them.
+        if near.shape[1] > k + 4:
+            top = np.argpartition(-near, k + 3, axis=1)[:, : k + 4]
+            near, w = np.take_along_axis(near, top, 1), np.take_along_axis(w, top, 1)
+        u, v = x[lo : lo + 64].astype(np.float64), x[w].astype(np.float64)
+        size = np.sqrt((u * u).sum(1))[:, None] * np.sqrt((v * v).sum(2))
+        exact = np.where(near == -np.inf, -np.inf, np.round((v @ u[:, :, None])[:, :, 0] / size, 9))
+        order = np.argsort(ids[w], axis=1, kind="stable")
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(exact, order, 1), axis=1, kind="stable"), 1)[:, :k]
+        exact, w = np.take_along_axis(exact, order, 1), np.take_along_axis(w, order, 1)
+        q, c = np.nonzero(exact > -np.inf)
+        out.append((ids[lo + q], ids[w[q, c]], exact[q, c]))
+    q, c, sim = (np.concatenate(z) for z in zip(*out, strict=True))
+    return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(c, pa.int64()), "similarity": pa.array(sim)})
 
 
 def neighbour_pairs(found: DataFrame, key: str = "row_id") -> DataFrame:
