@@ -251,3 +251,15 @@ def link_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["link_batch"] = link_batch
+
+
+def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical arm over stems: tokens without accents, suffixes stripped."""
+    from evidentia.functions.stem import stemmed_text
+
+    index = model.index(spark, d).select("row_id", stemmed_text(F.col("text")).alias("text"))
+    asked = _queries(spark, d).select("query_id", stemmed_text(F.col("query")).alias("query"))
+    return search.bm25(index, asked, "row_id", "text")
+
+
+QUERIES["bm25_porter"] = bm25_porter

@@ -113,3 +113,12 @@ def test_safety(spark):
     assert _col(spark, ["api_key: xyz", "nothing", None, "ghp_0123456789abcdefXY"], safety.has_secret) == [True, False, False, True]
     pair = lambda c: safety.jaccard(safety.token_set(c), safety.token_set(F.lit("alpha beta gamma")))
     assert _col(spark, ["Alpha beta", "of", ""], pair) == [2 / 3, 0.0, 0.0]
+
+
+def test_stems_of_the_published_examples():
+    from evidentia.functions.stem import plain, stem
+
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit digitizer digit vietnamization vietnam operator oper feudalism feudal hopefulness hope triplicate triplic electrical electr goodness good revival reviv adjustable adjust replacement replac adoption adopt effective effect rate rate cease ceas controll control roll roll"
+    w = pairs.split()
+    assert [stem(a) for a in w[::2]] == w[1::2]
+    assert plain("Éàü") == "Eau" and plain(None) is None and stem("x2") == "x2"

@@ -208,3 +208,16 @@ def test_references_wait_resolve_and_reopen(spark):
     empty = ReferenceState(spark)
     empty.step(new_refs=refs.where("false"), arrived=there.where("false"))
     assert empty.waiting().count() == 0 and empty.counts().count() == 0
+
+
+def test_queries_that_may_leave(spark):
+    from evidentia.operators.research import discover, safe_queries
+
+    qs = ["alpha beta gamma delta", "short", "my password: hunter2", "Alpha  beta gamma\ndelta", "known idea about caching", "other words entirely", "yet another question here"]
+    c = spark.createDataFrame([("r", i, q) for i, q in enumerate(qs)], "request string, position int, query string")
+    known = spark.createDataFrame([("r", "known idea about caching")], "request string, idea string")
+    assert [r.position for r in safe_queries(c, known, 2).orderBy("position").collect()] == [0, 5]
+    assert [r.position for r in safe_queries(c, known.where("false"), 9).orderBy("position").collect()] == [0, 4, 5, 6]
+    body = '{"results": [{"url": "https://a.org/x/", "title": "t"}, {"url": "HTTPS://A.org/x", "title": "u", "score": 0.9}, {"url": "http://localhost/", "title": "v"}]}'
+    got = discover(spark.createDataFrame([(body,), ("{}",)], "body string")).collect()
+    assert [(r.url, r.score) for r in got] == [("https://a.org/x/", 1.0)]
