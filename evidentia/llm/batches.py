@@ -74,8 +74,10 @@ def _near(new: DataFrame, old: DataFrame) -> DataFrame:
     both = F.col("size") + F.col("size_o")
     apart = sum((F.bit_count(F.col(f"d{i}").bitwiseXOR(F.col(f"d{i}_o"))) for i in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("d0_o"))))
     same_place = (F.col("source") == F.col("source_o")) & (F.col("range") == F.col("range_o")) & (F.col("part") == F.col("part_o"))
-    close = probe.join(o, same_place & (3 * F.abs(F.col("size") - F.col("size_o")) <= both) & (3 * apart <= both))
-    return close.where(3 * F.size(F.array_intersect("runs", "runs_o")) >= F.col("size") + F.col("size_o"))
+    # One conditional expression: as separate conjuncts the optimiser would verify before it prunes.
+    pruned = (3 * F.abs(F.col("size") - F.col("size_o")) <= both) & (3 * apart <= both)
+    near = F.when(pruned, 3 * F.size(F.array_intersect("runs", "runs_o")) >= both).otherwise(False)
+    return probe.join(o, same_place & near)
 
 
 class PivotTable:
