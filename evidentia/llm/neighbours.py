@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +99,8 @@ class VectorIndex:
         self.spread = np.maximum(1, np.ceil(weight / BLOCK_ROWS)).astype(np.int64)
         # A list spread over several blocks is alone in its block; the further ones get new numbers.
         self.extra = int(self.block.max()) + 1 + np.concatenate([[0], np.cumsum(self.spread - 1)[:-1]])
+        #: Blocks in all; each is one task of the search.
+        self.blocks = int(self.block.max()) + 1 + int((self.spread - 1).sum())
         self.step = -(-unit.shape[1] // PARTS)
         rest = self._parts(unit - self.centroids[home])
         codes = min(CODES, len(unit))
@@ -166,7 +169,8 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
         sample = _proper(few["vec"].combine_chunks(), dim)[1] if few.num_rows else sample
     if not len(sample):
         return spark.createDataFrame([], schema)
-    shipped = sc.broadcast(VectorIndex(sample, total))
+    index = VectorIndex(sample, total)
+    shipped = sc.broadcast(index)
 
     # Vectors that stand more than k + 1 times: only the k + 1 smallest keys take part in the search.
     marks = [F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")]
@@ -213,11 +217,16 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                 vecs = pa.Array.from_buffers(pa.binary(), len(raw), [None, bounds, pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key_, pa.int64()), pa.array(own_list, pa.int32()), pa.array(probed, pa.list_(pa.int32())), vecs, pa.array(code, pa.binary())], names=["block", "id", "list", "probes", "vec", "code"])
 
-    def search(table: pa.Table) -> pa.Table:
-        return _search_block(shipped.value, table.combine_chunks(), dim, k)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One block per partition, of bounded size.
+        came = list(batches)
+        if came:
+            whole = pa.Table.from_batches(came)
+            for b in pc.unique(whole["block"]):
+                yield from _search_block(shipped.value, whole.filter(pc.equal(whole["block"], b)).combine_chunks(), dim, k).to_batches(65536)
 
     placed = rows.mapInArrow(place, "block bigint, id bigint, list int, probes array<int>, vec binary, code binary")
-    found = placed.groupBy("block").applyInArrow(search, "id bigint, other bigint, similarity double")
+    found = placed.repartitionById(index.blocks, F.col("block").cast("int")).mapInArrow(search, "id bigint, other bigint, similarity double")
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
     if crowded:
         found = materialise(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "vector-found")
