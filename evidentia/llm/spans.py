@@ -108,7 +108,9 @@ class SpanIndex:
     def shared_spans(self, texts: DataFrame, key: str = "doc_id", text: str = "text", new: DataFrame | None = None) -> DataFrame:
         """``key, from_word, to_word, n_words``: longest stretches of shared words of each record.
 
-        ``new`` (a column ``record``) restricts the work to what a new batch touches.
+        ``new`` (a column ``record``) restricts the work to what a new batch touches: stretches of
+        its own records are complete; of older records only those parts come out that lie under
+        an anchor of the batch, to be united with what was reported before.
         """
         length, gram = self.length, self.gram
         kind = texts.schema[key].dataType.simpleString()
