@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.vectors import dot
-from evidentia.operators import graph, rank, search
+from evidentia.operators import graph, pairs, rank, search
 from evidentia.plans import model
 from evidentia.plans.model import sql
 from evidentia.scratch import materialise
@@ -176,17 +175,9 @@ _PAIRS = """SELECT a.idea_id, a.row_id AS a, b.row_id AS b, round(list_dot_produ
 _SMALL = """WITH n AS (SELECT idea_id FROM unit WHERE idea_id IS NOT NULL GROUP BY 1 HAVING count(*) <= 64), u AS (SELECT * FROM unit JOIN n USING (idea_id)) """
 
 
-def _within(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of leaves of one idea, for ideas of at most 64 leaves; larger ones are split before they are compared."""
-    rows = model.unit_vectors(spark, d).where("idea_id is not null").select("idea_id", "row_id", "vec")
-    small = rows.groupBy("idea_id").agg(F.count("*").alias("n")).where("n <= 64").select("idea_id")
-    u = rows.join(small, "idea_id")
-    b = u.select("idea_id", F.col("row_id").alias("b"), F.col("vec").alias("vb"))
-    return u.join(b, "idea_id").where("row_id < b").select("idea_id", F.col("row_id").alias("a"), "b", F.round(dot(F.col("vec"), F.col("vb")), 6).alias("cosine"))
-
-
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _within(spark, d)
+    """Every two leaves of one idea. The SQL below leaves out ideas over 64 leaves; here none is left out."""
+    return pairs.within(model.unit_vectors(spark, d), "idea_id", "row_id", "vec")
 
 
 QUERIES["pair_similarity"] = pair_similarity
@@ -196,13 +187,12 @@ ORACLE["pair_similarity"] = sql(_SMALL + _PAIRS)
 def auc_pairs(spark: SparkSession, d: str) -> DataFrame:
     """How well similarity tells leaves of one source from others, within ideas: area under the curve, ties counting half."""
     src = model.index(spark, d).select("row_id", "thesis_id").join(model.leaves(spark, d, "id", "source_id").withColumnRenamed("id", "thesis_id"), "thesis_id").groupBy("row_id").agg(F.min("source_id").alias("s"))
-    p = _within(spark, d).join(src.select(F.col("row_id").alias("a"), F.col("s").alias("sa")), "a").join(src.select(F.col("row_id").alias("b"), F.col("s").alias("sb")), "b")
-    p = p.withColumn("same", (F.col("sa") == F.col("sb")).cast("int")).where("same is not null")
+    rows = model.unit_vectors(spark, d).select("idea_id", "row_id", "vec").join(src.where("s is not null"), "row_id")
     # Ranks come from the counts of distinct similarities, at most two million at six decimals.
-    by = p.groupBy("cosine").agg(F.sum("same").alias("pos"), F.sum(1 - F.col("same")).alias("neg"))
+    by = pairs.agreement(rows, "idea_id", "row_id", "vec", "s")
     below = F.coalesce(F.sum("neg").over(W.orderBy("cosine").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     area = by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("wins").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return area.select("pos", "neg", F.round(F.col("w") / (F.col("pos") * F.col("neg")), 6).alias("auc"))
+    return area.select("pos", "neg", F.round(F.col("w") / (F.col("pos").cast("double") * F.col("neg")), 6).alias("auc"))
 
 
 QUERIES["auc_pairs"] = auc_pairs

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit, graph, ingest, jobs, rank, runlog, search, synthesis, trust
+from evidentia.operators import audit, graph, ingest, jobs, pairs, rank, runlog, search, synthesis, trust
 from evidentia.operators.link import link_batch
 from evidentia.operators.models import CountingJudge, HashingEncoder, OverlapArbiter, encoded
 from evidentia.operators.orphans import ReferenceState, parents, references
@@ -50,6 +50,37 @@ def test_cosine_topk_ties_by_key(spark):
     assert [r.id for r in search.cosine_topk(v, q, "id", "vec", 4).orderBy("vec_rank").collect()] == [0, 1, 2, 3]
 
 
+def test_pairs_of_large_groups_are_whole(spark, monkeypatch):
+    monkeypatch.setattr("evidentia.operators.pairs.BLOCK", 30)
+    x = np.random.default_rng(5).standard_normal((170, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [("big" if i < 130 else "small" if i < 168 else None, i, v.tolist(), f"s{i % 3}") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "idea string, id long, vec array<float>, s string").repartition(3)
+    want = {(rows[i][0], i, j): round(float(x[i].astype(float) @ x[j].astype(float)), 6) for i in range(168) for j in range(i + 1, 168) if rows[i][0] == rows[j][0]}
+    found = pairs.within(df, "idea", "id", "vec").collect()
+    assert len(found) == len(want) and {(r.idea, r.a, r.b): r.cosine for r in found} == pytest.approx(want, abs=1.1e-6)
+    by = pairs.agreement(df, "idea", "id", "vec", "s").agg(F.sum("pos"), F.sum("neg")).first()
+    equal = sum(i % 3 == j % 3 for _, i, j in want)
+    assert tuple(by) == (equal, len(want) - equal)
+
+
+def test_queries_of_pairs_reach_ideas_over_64_leaves(spark, tmp_path):
+    """Against brute force; the SQL of these two queries stops at 64 leaves an idea."""
+    from evidentia.plans.catalogue import QUERIES
+
+    x = np.random.default_rng(6).standard_normal((80, 384)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(i, f"t{i}", "big", "text", v.tolist()) for i, v in enumerate(x)], "row_id long, thesis_id string, idea_id string, text string, vec array<float>").write.parquet(f"{tmp_path}/idx_thesis.parquet")
+    spark.createDataFrame([(f"t{i}", f"s{i % 2}", "big", "text", None, None) for i in range(80)], "id string, source_id string, idea_id string, text string, created_at string, run_success boolean").write.parquet(f"{tmp_path}/thesis_out.parquet")
+    assert QUERIES["pair_similarity"](spark, str(tmp_path)).count() == 80 * 79 // 2
+    got = QUERIES["auc_pairs"](spark, str(tmp_path)).first()
+    near = (x.astype(float) @ x.astype(float).T).round(6)
+    i, j = np.triu_indices(80, 1)
+    same, c = i % 2 == j % 2, near[i, j]
+    wins = (c[same][:, None] > c[~same][None, :]).sum() + 0.5 * (c[same][:, None] == c[~same][None, :]).sum()
+    assert (got.pos, got.neg) == (same.sum(), (~same).sum()) and got.auc == pytest.approx(wins / (same.sum() * (~same).sum()), abs=2e-6)
+
+
 def test_dial_equals_svd(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 6)) * [5, 3, 1, 1, 1, 1]
