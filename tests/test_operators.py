@@ -8,7 +8,7 @@ from evidentia.operators import audit, graph, ingest, jobs, pairs, rank, runlog,
 from evidentia.operators.link import link_batch
 from evidentia.operators.models import CountingJudge, HashingEncoder, OverlapArbiter, encoded
 from evidentia.operators.orphans import ReferenceState, parents, references
-from evidentia.operators.split import parts, split_ideas
+from evidentia.operators.split import parts, seeds, split_ideas
 
 
 def _set(df):
@@ -161,6 +161,24 @@ def test_large_ideas_are_cut_into_cells(spark, monkeypatch):
     assert sum(r["count"] for r in sizes) == 300 and max(r["count"] for r in sizes) <= 16
 
 
+@pytest.mark.parametrize("kind", ["spread", "equal"])
+def test_large_ideas_split_as_a_whole(spark, monkeypatch, kind):
+    monkeypatch.setattr("evidentia.operators.split.GROUP", 120)
+    monkeypatch.setattr("evidentia.operators.pairs.BLOCK", 70)
+    x = np.random.default_rng(8).standard_normal((300, 5)) if kind == "spread" else np.ones((300, 4)) / 2
+    df = spark.createDataFrame([("big", i, v.tolist()) for i, v in enumerate(x)], "idea string, leaf int, vec array<double>").repartition(3)
+    found = split_ideas(df, "idea", "leaf", "vec").collect()
+    want = {int(i): n for n, rows in enumerate(parts(x / np.linalg.norm(x, axis=1, keepdims=True))) for i in rows}
+    assert {r.leaf: r.part for r in found} == want
+
+
+def test_seeds_are_the_least_similar_pair_at_any_size():
+    x = np.random.default_rng(9).standard_normal((1500, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = seeds(x)
+    assert x[a] @ x[b] == pytest.approx((x @ x.T).min())
+
+
 def test_link_fold(spark):
     texts = [("s1", 1, "alpha beta gamma delta"), ("s1", 2, "alpha beta gamma delta"), ("s1", 3, "alpha beta gamma epsilon"), ("s1", 4, "new thing entirely here"), ("s1", 5, "new thing entirely there"), ("s2", 1, "stored already")]
     enc = HashingEncoder(32)
