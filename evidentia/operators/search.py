@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.vectors import dot
+from evidentia.scratch import materialise
 
 #: Constant of reciprocal rank fusion, and the two of BM25.
 RRF_K, K1, B = 60, 1.2, 0.75
@@ -118,11 +121,20 @@ def cosine(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFr
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 50) -> DataFrame:
     """``query_id, key, cosine, vec_rank``. At most ``QUERY_BATCH`` queries are sent to the scan, where one matrix
     product per Arrow batch scores them; each batch passes on its best ``k`` per query (all of those that tie at the
-    last place), the merge ranks them with ties by key. More queries than that are refused: ask in batches.
+    last place), the merge ranks them with ties by key. More queries than that are asked block by block, each block's
+    hits being written before the next is read, so that the driver holds one block. Query ids are distinct.
     """
-    asked = queries.select("query_id", "qvec").where(F.col("qvec").isNotNull()).limit(QUERY_BATCH + 1).toPandas()
-    if len(asked) > QUERY_BATCH:
-        raise ValueError(f"more than {QUERY_BATCH} queries at a time")
+    every = queries.select("query_id", "qvec").where(F.col("qvec").isNotNull())
+    asked = every.limit(QUERY_BATCH + 1).toPandas()
+    if len(asked) <= QUERY_BATCH:
+        return _nearest(vectors, queries, asked, key, vec, k)
+    found, rest = [], every.toLocalIterator()
+    while block := list(islice(rest, QUERY_BATCH)):
+        found.append(materialise(_nearest(vectors, queries, pd.DataFrame(block, columns=["query_id", "qvec"]), key, vec, k), "nearest"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, asked: pd.DataFrame, key: str, vec: str, k: int) -> DataFrame:
     rows = vectors.where(F.col(vec).isNotNull()).select(key, vec)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, cosine double"
     if asked.empty:

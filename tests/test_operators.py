@@ -50,6 +50,16 @@ def test_cosine_topk_ties_by_key(spark):
     assert [r.id for r in search.cosine_topk(v, q, "id", "vec", 4).orderBy("vec_rank").collect()] == [0, 1, 2, 3]
 
 
+def test_cosine_topk_asks_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(7).standard_normal((40, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vec array<float>").repartition(3)
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:25])], "query_id int, qvec array<float>").repartition(4)
+    whole = _set(search.cosine_topk(v, q, "id", "vec", 5))
+    monkeypatch.setattr("evidentia.operators.search.QUERY_BATCH", 10)
+    assert len(whole) == 125 and _set(search.cosine_topk(v, q, "id", "vec", 5)) == whole
+
+
 def test_pairs_of_large_groups_are_whole(spark, monkeypatch):
     monkeypatch.setattr("evidentia.operators.pairs.BLOCK", 30)
     x = np.random.default_rng(5).standard_normal((170, 6)).astype(np.float32)
