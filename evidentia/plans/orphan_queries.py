@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.operators.orphans import ReferenceState, parents, references
 from evidentia.plans.tables import table
+from evidentia.scratch import materialise
+
+#: Steps in which the tables are taken in, at most.
+STEPS = 4
+
+
+def _quarter(at: Column) -> Column:
+    return F.when(at.isNull(), "0").otherwise(F.concat(F.year(at), F.lit("Q"), F.quarter(at)))
 
 
 def _state(spark: SparkSession, d: str) -> ReferenceState:
+    """The tables as they came in, quarter by quarter; what has no time comes first."""
     thesis, idx = table(spark, d, "thesis_out"), table(spark, d, "idx_thesis")
     sources, ideas, removed = table(spark, d, "sources"), table(spark, d, "ideas"), table(spark, d, "removals")
     refs = references(thesis, "thesis_out", "source_id", "id", "sources", "created_at").unionByName(references(thesis, "thesis_out", "idea_id", "id", "ideas", "created_at")).unionByName(references(idx, "idx_thesis", "idea_id", "thesis_id", "ideas", None))
-    there = parents(sources, "sources", "id", "retrieved_at").unionByName(parents(ideas, "ideas", "id", "created_at"))
-    # Before its removal a key was there; keys put back later are in the tables again.
-    gone = removed.select(F.col("parent_table").alias("parent"), F.col("removed_id").alias("key")).dropna().distinct()
-    gone = gone.join(there, ["parent", "key"], "left_anti")
-    before = gone.withColumn("since", F.lit(None).cast("timestamp"))
+    refs = materialise(refs.withColumn("quarter", _quarter(F.col("at"))), "orphan-new", "quarter")
+    there = materialise(parents(sources, "sources", "id", "retrieved_at").unionByName(parents(ideas, "ideas", "id", "created_at")).withColumn("quarter", _quarter(F.col("since"))), "orphan-there")
+    gone = removed.select(F.col("parent_table").alias("parent"), F.col("removed_id").alias("key"), _quarter(F.col("removed_at")).alias("quarter")).dropna(subset=["parent", "key"])
+    # A removed key that is in no table now was there from the start; one that is, was put back in the end.
+    lost = gone.join(there, ["parent", "key"], "left_anti").select("parent", "key", F.lit(None).cast("timestamp").alias("since")).distinct()
+    again = there.join(gone.select("parent", "key").distinct(), ["parent", "key"], "left_semi").select("parent", "key", "since")
+    tell = lambda df, what: df.select("quarter", F.lit(what).alias("what")).distinct()
+    news: dict[str, set[str]] = {}
+    for r in tell(refs, "refs").unionByName(tell(there, "there")).unionByName(tell(gone, "gone")).collect():
+        news.setdefault(r.quarter, set()).add(r.what)
+    order = sorted(news)
     state = ReferenceState(spark)
-    state.step(new_refs=refs, arrived=there.unionByName(before))
-    state.step(deleted=gone)
+    state.step(arrived=lost)
+    # At most STEPS steps, each of whole quarters.
+    for part in (order[len(order) * i // STEPS : len(order) * (i + 1) // STEPS] for i in range(STEPS)):
+        has = lambda what: any(what in news[q] for q in part)  # noqa: B023, E731
+        some = lambda df, what: df.where(F.col("quarter").isin(part)).drop("quarter") if has(what) else None  # noqa: B023, E731
+        if part:
+            state.step(some(refs, "refs"), some(there, "there"), some(gone, "gone"))
+    state.step(arrived=again)
     return state
 
 

@@ -8,6 +8,7 @@ from evidentia.operators import audit, graph, ingest, jobs, pairs, rank, runlog,
 from evidentia.operators.link import link_batch
 from evidentia.operators.models import CountingJudge, HashingEncoder, OverlapArbiter, encoded
 from evidentia.operators.orphans import ReferenceState, parents, references
+from evidentia.scratch import written
 from evidentia.operators.split import parts, seeds, split_ideas
 
 
@@ -264,11 +265,36 @@ def test_references_wait_resolve_and_reopen(spark):
     assert keys(s) == {("l1", "late"), ("l3", "waiting")}
     counts = {(r.month, r.missing, r.late, r.refs) for r in s.counts().collect()}
     assert counts == {("2024-01", 0, 1, 1), (None, 0, 0, 2), ("2024-02", 1, 0, 1)}
+    # Delivered again in a later step, a reference counts once.
+    s.step(new_refs=refs)
+    assert {(r.month, r.missing, r.late, r.refs) for r in s.counts().collect()} == counts
+    assert ReferenceState(spark).waiting().count() == 0
     empty = ReferenceState(spark)
     empty.step(new_refs=refs.where("false"), arrived=there.where("false"))
     assert empty.waiting().count() == 0 and empty.counts().count() == 0
 
 
+def test_a_step_writes_what_it_touches(spark):
+    key = F.concat(F.lit("k"), (F.col("id") % 5000).cast("string"))
+    refs = spark.range(40_000).select(F.lit("t").alias("tab"), F.lit("f").alias("field"), F.col("id").cast("string").alias("row_key"), F.lit("p").alias("parent"), key.alias("key"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("month"))
+    there = lambda lo, hi: spark.range(lo, hi).select(F.lit("p").alias("parent"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit(None).cast("timestamp").alias("since"))
+    s = ReferenceState(spark)
+    s.step(new_refs=refs, arrived=there(0, 4000))
+    first = written(s.refs.pieces[-1][1])
+    s.step(new_refs=refs.limit(20).withColumn("row_key", F.concat(F.lit("x"), "row_key")))
+    s.step(arrived=there(4000, 4010))
+    s.step(deleted=there(0, 3))
+    assert all(20 * 8 * 3 < written(p) < first / 5 for _, p in s.refs.pieces[1:]) and len(s.refs.pieces) == 4
+    assert s.waiting().count() == 8 * (1000 - 10 + 3) + s.waiting().where("row_key like 'x%'").count()
+    # Merged pieces give the same.
+    for n in range(10):
+        s.step(arrived=there(4010 + n, 4011 + n), deleted=there(3 + n, 4 + n))
+    assert len(s.refs.pieces) < 8
+    assert s.waiting().where("row_key not like 'x%'").count() == 8 * (1000 - 20 + 13)
+    s.refs.vacuum()
+    assert s.counts().first().refs == 40_020
+
+
 def test_queries_that_may_leave(spark):
     from evidentia.operators.research import discover, safe_queries
 
