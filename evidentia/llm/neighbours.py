@@ -1,18 +1,27 @@
 """Most similar vectors for every vector: inverted lists, product-quantised residuals, exact reranking.
 
-Fit, on a sample of at most ``FIT_ROWS`` rows: coarse centroids (one per ``LIST_ROWS`` rows, at
-most ``MAX_LISTS``), and for the residuals ``PARTS`` codebooks of ``CODES`` entries. Neighbouring
+Fit, on a sample of at most ``FIT_ROWS`` rows: coarse centroids, and for the residuals ``PARTS``
+codebooks of ``CODES`` entries. There is one centroid per ``LIST_ROWS`` rows up to ``MAX_LISTS``, and
+beyond that one per ``BLOCK_ROWS / 2`` rows up to one per four rows of the sample. Neighbouring
 lists are put together into blocks of about ``BLOCK_ROWS`` rows by bisection of the centroids; a
 list larger than a block is spread over several. What is broadcast is bounded by these constants.
 
-Index: every row goes to its own list's block, once, with its code. Search: every row is also a
-query for its ``PROBES`` nearest lists; those in its own block cost no transfer, and a copy of the
-vector travels only to blocks that hold one of its ``FAR`` nearest lists. In a block, asymmetric
-distance tables (query parts against codebooks) score each probed list's codes, the best
-``RERANK`` are scored again with the exact cosine, and the best k of all blocks are kept.
+Index: every row goes to its own list's block, once, with its code. A list of more than twice
+``LIST_ROWS`` rows is cut there into sublists by k-means over its own rows, so that what a query
+scans does not grow with the table. Search: every row is also a query for its ``PROBES`` nearest
+lists; those in its own block cost no transfer, and a copy of the vector travels only to blocks
+that hold one of its ``FAR`` nearest lists. A block to which many queries will travel, by the
+sample, is written several times, and each of its copies takes a share of them. In a block, a query
+scans the ``SCAN`` nearest sublists of the lists it probes: asymmetric distance tables (query parts
+against codebooks) score the codes, the best ``RERANK`` (ties by smaller key) are scored again with
+the exact cosine, and the best k of all blocks are kept.
 
-A vector that stands more than k + 1 times is searched once: the further copies take the
-neighbours of the first one, so a vector that a third of all rows share makes no large list.
+The work per row is flat up to ``FIT_ROWS / 4`` lists of a block each (about 130 million rows);
+beyond that lists are spread over blocks, and a query visits them all.
+
+A vector that stands more than k + 1 times (by 128 bits of its hash) is searched once: the further
+copies take the neighbours of the first one, so a vector that a third of all rows share makes no
+large list.
 
 Results: rows whose vector is null, of another length, all zero, or holds a null or non-finite
 value, have no neighbours and are nobody's. Similarity is the cosine rounded to 9 decimals, ties
@@ -31,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.scratch import materialise
+from evidentia.functions.words import mix
+from evidentia.scratch import materialise, release
 
-#: Rows the index is fitted on, at most; every row is indexed.
-FIT_ROWS = 20_000
-#: Rows per list aimed at, lists at most.
-LIST_ROWS, MAX_LISTS = 200, 2048
-#: Rows per block.
-BLOCK_ROWS = 8192
+#: Rows the index is fitted on, at most; every row is indexed. ``FIRST_ROWS`` of them suffice up to ``MAX_LISTS`` lists.
+FIT_ROWS, FIRST_ROWS = 65_536, 20_000
+#: Rows per list aimed at, lists of that size at most; sublists a query scans in a block.
+LIST_ROWS, MAX_LISTS, SCAN = 200, 2048, 8
+#: Rows per block, and visiting queries per copy of a block.
+BLOCK_ROWS, VISITS = 8192, 32_768
 #: Lists searched per query; nearest lists searched outside the query's own block too.
 PROBES, FAR = 4, 2
 #: Parts a residual is cut into, entries of each part's codebook.
@@ -47,11 +57,16 @@ PARTS, CODES = 96, 64
 RERANK = 128
 
 
+def _sample_rows(rows: int) -> int:
+    return min(FIT_ROWS, max(FIRST_ROWS, 4 * (2 * rows // BLOCK_ROWS)))
+
+
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
     """Lloyd's k-means; with ``unit`` on the sphere."""
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - (0 if unit else 0.5 * (c * c).sum(1))).argmax(1)
+        half = 0 if unit else 0.5 * (c * c).sum(1)
+        near = np.concatenate([(x[lo : lo + 4096] @ c.T - half).argmax(1) for lo in range(0, len(x), 4096)])
         order = np.argsort(near, kind="stable")
         at, first = np.unique(near[order], return_index=True)
         new = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
@@ -91,16 +106,26 @@ class VectorIndex:
     def __init__(self, sample: np.ndarray, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         unit = (sample / np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-        lists = int(np.clip(rows // LIST_ROWS, 1, min(MAX_LISTS, len(unit))))
-        self.centroids = _means(unit, lists, 8, rng, True)
-        home = (unit @ self.centroids.T).argmax(1)
+        wanted = min(rows // LIST_ROWS, max(MAX_LISTS, 2 * rows // BLOCK_ROWS))
+        lists = int(np.clip(wanted, 1, len(unit) if rows <= MAX_LISTS * LIST_ROWS else max(1, len(unit) // 4)))
+        self.centroids = _means(unit, lists, 8 if lists <= MAX_LISTS else 4, rng, True)
+        near = np.concatenate([self.probes(unit[lo : lo + 2048]) for lo in range(0, len(unit), 2048)])
+        home = near[:, 0]
         weight = np.bincount(home, minlength=lists) * (rows / len(unit))
         self.block = _blocks(self.centroids, weight, BLOCK_ROWS, rng)
         self.spread = np.maximum(1, np.ceil(weight / BLOCK_ROWS)).astype(np.int64)
         # A list spread over several blocks is alone in its block; the further ones get new numbers.
         self.extra = int(self.block.max()) + 1 + np.concatenate([[0], np.cumsum(self.spread - 1)[:-1]])
-        #: Blocks in all; each is one task of the search.
-        self.blocks = int(self.block.max()) + 1 + int((self.spread - 1).sum())
+        blocks = int(self.block.max()) + 1 + int((self.spread - 1).sum())
+        # Queries that will visit each block, by the sample; a block of many is written in several copies.
+        visits = np.zeros(blocks)
+        for one in range(1, min(FAR, near.shape[1])):
+            away = self.block[near[:, one]] != self.block[home]
+            visits += np.bincount(self.block[near[away, one]], minlength=blocks) * (rows / len(unit))
+        self.copies = np.maximum(1, np.ceil(visits / VISITS)).astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.copies)[:-1]])
+        #: Copies of blocks in all; each is one task of the search.
+        self.blocks = int(self.copies.sum())
         self.step = -(-unit.shape[1] // PARTS)
         rest = self._parts(unit - self.centroids[home])
         codes = min(CODES, len(unit))
@@ -160,7 +185,7 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
     schema = f"`{key}` bigint, other bigint, similarity double, rank int"
 
     total = df.count()
-    share = min(1.0, FIT_ROWS / max(1, total))
+    share = min(1.0, _sample_rows(total) / max(1, total))
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec").limit(FIT_ROWS).toArrow()
     sample = _proper(chosen["vec"].combine_chunks(), dim)[1] if chosen.num_rows else np.empty((0, dim), np.float32)
     if not len(sample):
@@ -173,7 +198,7 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
     shipped = sc.broadcast(index)
 
     # Vectors that stand more than k + 1 times: only the k + 1 smallest keys take part in the search.
-    marks = [F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")]
+    marks = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
     crowds = rows.select(*marks).groupBy("h1", "h2").count().where(F.col("count") > k + 1).select("h1", "h2")
     crowds = materialise(crowds, "vector-crowds")
     crowded = crowds.limit(1).count() > 0
@@ -186,6 +211,8 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
         marked = rows.select("*", *marks).join(side, ["h1", "h2"], "left")
         further = marked.where(~F.array_contains("ids", F.col("id"))).select("id", F.col("ids")[0].alias("rep"))
         rows = marked.where(F.col("ids").isNull() | F.array_contains("ids", F.col("id"))).select("id", "vec")
+    else:
+        release(crowds)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
@@ -199,7 +226,8 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                 unit = _unit(x)
                 lists = index.probes(unit)
                 home = lists[:, 0]
-                at = index.places(home, ids.astype(np.uint64).view(np.int64) & 0x7FFFFFFF)
+                salt = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                at = index.places(home, salt)
                 codes = index.encode(unit, home)
                 out: list[tuple] = []
                 for i in range(len(ids)):
@@ -208,9 +236,15 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                         for b in index.all_places(one) if index.spread[one] > 1 else (int(index.block[one]),):
                             if b in wanted or n < FAR:
                                 wanted.setdefault(b, []).append(one)
+                    code = codes[i].tobytes()
                     for b, probed in wanted.items():
-                        own = b == at[i]
-                        out.append((b, ids[i], int(home[i]) if own else -1, probed, i, codes[i].tobytes() if own else None))
+                        mine = int(salt[i] % index.copies[b])
+                        if b == at[i]:
+                            # A row stands in every copy of its block and asks in one.
+                            for c in range(index.copies[b]):
+                                out.append((int(index.base[b]) + c, ids[i], int(home[i]), probed if c == mine else [], i, code))
+                        else:
+                            out.append((int(index.base[b]) + mine, ids[i], -1, probed, i, None))
                 block, key_, own_list, probed, src, code = zip(*out, strict=True)
                 raw = np.ascontiguousarray(x[list(src)])
                 bounds = pa.py_buffer((np.arange(len(raw) + 1, dtype=np.int64) * dim * 4).astype(np.int32))
@@ -241,6 +275,47 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
     return ranked.select(F.col("id").alias(key), "other", "similarity", "rank")
 
 
+def _sublists(unit: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows`` cut into sublists of about ``LIST_ROWS`` by k-means on the vectors, order kept."""
+    if len(rows) <= 2 * LIST_ROWS:
+        return [rows]
+    rng, k = np.random.default_rng(len(rows)), -(-len(rows) // LIST_ROWS)
+    x = unit[rows]
+    some = x if len(rows) <= 16 * k else x[rng.choice(len(rows), 16 * k, replace=False)]
+    near = (x @ _means(some, k, 4, rng, True).T).argmax(1)
+    order = np.argsort(near, kind="stable")
+    return np.split(rows[order], np.flatnonzero(np.diff(near[order])) + 1)
+
+
+def _asked(unit: np.ndarray, heads: np.ndarray, owner: np.ndarray, probes: list[list[int]]) -> dict[int, list[tuple[int, int]]]:
+    """Per sublist the (query, slot) that scan it: the ``SCAN`` nearest sublists of the lists a query probes."""
+    of_list: dict[int, list[int]] = {}
+    for n, one in enumerate(owner.tolist()):
+        of_list.setdefault(one, []).append(n)
+    asks: dict[int, list[tuple[int, int]]] = {}
+    for q, wanted in enumerate(probes):
+        subs = [n for one in wanted for n in of_list.get(one, ())]
+        if len(subs) > SCAN:
+            near = heads[subs] @ unit[q]
+            subs = [subs[i] for i in np.argpartition(-near, SCAN - 1)[:SCAN]]
+        for slot, n in enumerate(subs):
+            asks.setdefault(n, []).append((q, slot))
+    return asks
+
+
+def _keep(sums: np.ndarray, rows: np.ndarray, most: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` best of each row; among those that tie at the last place, the ones with the least ``order``."""
+    if sums.shape[1] <= most:
+        return sums, rows
+    top = np.argpartition(-sums, most - 1, axis=1)[:, :most]
+    last = np.take_along_axis(sums, top, 1).min(1)
+    for i in np.flatnonzero(((sums >= last[:, None]).sum(1) > most) & (last > -np.inf)):
+        better, tied = np.flatnonzero(sums[i] > last[i]), np.flatnonzero(sums[i] == last[i])
+        tied = tied[np.argsort(order[rows[i, tied]], kind="stable")]
+        top[i] = np.concatenate([better, tied[: most - len(better)]])
+    return np.take_along_axis(sums, top, 1), np.take_along_axis(rows, top, 1)
+
+
 def _search_block(index: VectorIndex, table: pa.Table, dim: int, k: int) -> pa.Table:
     """Neighbours, inside one block, of all queries that came to it."""
     raw = table["vec"].combine_chunks() if isinstance(table["vec"], pa.ChunkedArray) else table["vec"]
@@ -248,69 +323,59 @@ def _search_block(index: VectorIndex, table: pa.Table, dim: int, k: int) -> pa.T
     ids, lists = table["id"].to_numpy(), table["list"].to_numpy()
     unit = _unit(x)
     kept = np.flatnonzero(lists >= 0)
-    codes = np.frombuffer(b"".join(c for c in table["code"].to_pylist() if c is not None), np.uint8).reshape(-1, PARTS)
     kept = kept[np.argsort(lists[kept], kind="stable")]
-    row_of_code = np.cumsum(lists >= 0) - 1
-    codes = codes[row_of_code[kept]]
-    names, first = np.unique(lists[kept], return_index=True)
-    last = np.append(first[1:], len(kept))
-    where = {int(n): (int(a), int(b)) for n, a, b in zip(names, first, last, strict=True)}
-    asks: dict[int, list[tuple[int, int]]] = {}
-    slots = 0
-    for q, wanted in enumerate(table["probes"].to_pylist()):
-        slot = 0
-        for one in wanted:
-            if one in where:
-                asks.setdefault(one, []).append((q, slot))
-                slot += 1
-        slots = max(slots, slot)
+    given = table["code"].to_pylist()
+    subs = [s for part in np.split(kept, np.flatnonzero(np.diff(lists[kept])) + 1) if len(part) for s in _sublists(unit, part)]
+    owner = np.array([lists[s[0]] for s in subs], np.int64)
+    many = np.bincount(owner, minlength=1)[owner] > 1 if len(subs) else np.zeros(0, bool)
+    heads = np.stack([unit[s].mean(0) if m else index.centroids[o] for s, m, o in zip(subs, many, owner, strict=True)]) if subs else np.zeros((0, dim))
+    probes = table["probes"].to_pylist()
+    asks = _asked(unit, heads, owner, probes)
+    slots = 1 + max((slot for queries in asks.values() for _, slot in queries), default=-1)
     if not slots:
         return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-    # Per query, and per list it probes, the best codes of the list so far.
-    score = np.full((len(ids), slots, RERANK), -np.inf, np.float32)
-    which = np.zeros((len(ids), slots, RERANK), np.int32)
-    for one, queries in asks.items():
-        a, b = where[one]
+    asking = np.flatnonzero([len(p) > 0 for p in probes])
+    row_of = np.full(len(ids), -1)
+    row_of[asking] = np.arange(len(asking))
+    # Per query the best codes so far of all sublists it scans.
+    score = np.full((len(asking), RERANK), -np.inf, np.float32)
+    which = np.zeros((len(asking), RERANK), np.int32)
+    for n, queries in asks.items():
+        members = subs[n]
         for qlo in range(0, len(queries), 512):
-            q, slot = np.array(queries[qlo : qlo + 512]).T
+            q = np.array([a for a, _ in queries[qlo : qlo + 512]])
             tables = index.tables(unit[q])
-            base = unit[q] @ index.centroids[one]
-            for dlo in range(a, b, 4096):
-                dhi = min(b, dlo + 4096)
-                sums = np.zeros((dhi - dlo, len(q)), np.float32)
+            base = unit[q] @ index.centroids[owner[n]]
+            for dlo in range(0, len(members), 4096):
+                part = members[dlo : dlo + 4096]
+                codes = np.frombuffer(b"".join([given[i] for i in part.tolist()]), np.uint8).reshape(-1, PARTS)
+                sums = np.zeros((len(part), len(q)), np.float32)
                 for m in range(PARTS):
-                    sums += tables[m].take(codes[dlo:dhi, m], axis=0)
-                sums = np.ascontiguousarray(sums.T) + base[:, None]
-                sums[ids[q][:, None] == ids[kept[dlo:dhi]][None, :]] = -np.inf
-                rows = np.broadcast_to(kept[dlo:dhi].astype(np.int32), sums.shape)
-                if dlo > a:
-                    sums, rows = np.concatenate([score[q, slot], sums], 1), np.concatenate([which[q, slot], rows], 1)
+                    sums += tables[m].take(codes[:, m], axis=0)
+                # Rounded, so that equal directions tie.
+                sums = (np.ascontiguousarray(sums.T) + base[:, None]).round(5)
+                sums[ids[q][:, None] == ids[part][None, :]] = -np.inf
+                rows = np.broadcast_to(part.astype(np.int32), sums.shape)
                 if sums.shape[1] > RERANK:
-                    top = np.argpartition(-sums, RERANK - 1, axis=1)[:, :RERANK]
-                    sums, rows = np.take_along_axis(sums, top, 1), np.take_along_axis(rows, top, 1)
-                score[q, slot, : sums.shape[1]] = sums
-                which[q, slot, : sums.shape[1]] = rows
-    score, which = score.reshape(len(ids), -1), which.reshape(len(ids), -1)
+                    sums, rows = _keep(sums, rows, RERANK, ids)
+                at = row_of[q]
+                sums, rows = _keep(np.concatenate([score[at], sums], 1), np.concatenate([which[at], rows], 1), RERANK, ids)
+                score[at], which[at] = sums, rows
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(ids), 64):
-        s, w = score[lo : lo + 64], which[lo : lo + 64]
-        if s.shape[1] > RERANK:
-            top = np.argpartition(-s, RERANK - 1, axis=1)[:, :RERANK]
-            s, w = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-        near = (unit[w] @ unit[lo : lo + 64, :, None])[:, :, 0]
+    for lo in range(0, len(asking), 64):
+        s, w, me = score[lo : lo + 64], which[lo : lo + 64], asking[lo : lo + 64]
+        near = (unit[w] @ unit[me][:, :, None])[:, :, 0].round(6)
         near[s == -np.inf] = -np.inf
-        # Single precision chooses k + 4 (it errs by about 1e-7); double precision ranks them.
-        if near.shape[1] > k + 4:
-            top = np.argpartition(-near, k + 3, axis=1)[:, : k + 4]
-            near, w = np.take_along_axis(near, top, 1), np.take_along_axis(w, top, 1)
-        u, v = x[lo : lo + 64].astype(np.float64), x[w].astype(np.float64)
+        # Single precision chooses k + 4 (it errs by about 1e-7, so it is rounded); double precision ranks them.
+        near, w = _keep(near, w, k + 4, ids)
+        u, v = x[me].astype(np.float64), x[w].astype(np.float64)
         size = np.sqrt((u * u).sum(1))[:, None] * np.sqrt((v * v).sum(2))
         exact = np.where(near == -np.inf, -np.inf, np.round((v @ u[:, :, None])[:, :, 0] / size, 9))
         order = np.argsort(ids[w], axis=1, kind="stable")
         order = np.take_along_axis(order, np.argsort(-np.take_along_axis(exact, order, 1), axis=1, kind="stable"), 1)[:, :k]
         exact, w = np.take_along_axis(exact, order, 1), np.take_along_axis(w, order, 1)
         q, c = np.nonzero(exact > -np.inf)
-        out.append((ids[lo + q], ids[w[q, c]], exact[q, c]))
+        out.append((ids[me[q]], ids[w[q, c]], exact[q, c]))
     q, c, sim = (np.concatenate(z) for z in zip(*out, strict=True))
     return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(c, pa.int64()), "similarity": pa.array(sim)})
 

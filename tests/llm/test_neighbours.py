@@ -1,6 +1,6 @@
 import numpy as np
 
-from evidentia.llm.neighbours import neighbour_pairs, neighbours
+from evidentia.llm.neighbours import VectorIndex, neighbour_pairs, neighbours
 
 
 def _data(seed, n, dim):
@@ -53,6 +53,36 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and all(p.row_a < p.row_b for p in pairs)
 
 
+def test_recall_beyond_the_largest_number_of_lists(spark, monkeypatch):
+    # Few large lists in small blocks: sublists, spread lists, blocks in several copies.
+    for name, value in (("LIST_ROWS", 25), ("MAX_LISTS", 6), ("BLOCK_ROWS", 260), ("VISITS", 60), ("FIRST_ROWS", 600)):
+        monkeypatch.setattr(f"evidentia.llm.neighbours.{name}", value)
+    n, dim = 1500, 48
+    x, ids = _data(3, n, dim), np.arange(n) * 7
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "row_id long, vec array<float>")
+    index = VectorIndex(x[:600], n)
+    assert len(index.centroids) < n / 25 / 2 and index.copies.max() > 1
+    got = {}
+    for r in neighbours(df, dim=dim).collect():
+        got.setdefault(r.row_id, set()).add(r.other)
+    want = _brute(ids, x, 5)
+    assert set(got) == set(want)
+    assert sum(len(got[i] & set(w)) for i, w in want.items()) / (5 * n) > 0.9
+
+
+def test_ties_of_codes_go_to_smaller_keys(spark):
+    # One direction at many lengths: all codes tie, and more rows tie than are scored again.
+    rng = np.random.default_rng(5)
+    one, n = rng.standard_normal(16), 400
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), ((1 + i) * one).tolist()) for i in ids], "row_id long, vec array<float>")
+    got = {}
+    for r in neighbours(df, dim=16).collect():
+        got.setdefault(r.row_id, []).append(r.other)
+    hits = sum(set(v) == set([i for i in range(6) if i != k][:5]) for k, v in got.items())
+    assert hits > 0.95 * n
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None)], "row_id long, vec array<float>")
     assert {(r.row_id, r.other) for r in neighbours(df, dim=2).collect()} == {(1, 2), (2, 1)}
