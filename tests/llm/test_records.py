@@ -5,9 +5,12 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
-from evidentia.llm.batches import PivotTable, admit
-from evidentia.llm.cooccur import ConfigurationNull, incidences, pair_counts, surprise
+import numpy as np
+
+from evidentia.llm.batches import PivotTable, admit, counts_in_unary
+from evidentia.llm.cooccur import ConfigurationNull, incidences, pair_counts, surprise, upper_tail
 from evidentia.llm.dressed import collapsed, copies
 
 WORD = re.compile(r"[^\W_]+")
@@ -62,18 +65,47 @@ def test_pair_counts_with_and_without_large_baskets(spark):
     assert pair_counts(inc.where("false")).count() == 0
 
 
+def _tail(q, count):
+    """By convolution, in logarithms that lose nothing to underflow."""
+    pmf = [Fraction(1)]
+    for x in q:
+        pmf = [(pmf[i] if i < len(pmf) else 0) * (1 - x) + (pmf[i - 1] * x if i else 0) for i in range(len(pmf) + 1)]
+    return sum(pmf[count:])
+
+
 def test_null_keeps_margins_and_tails_are_exact():
     freqs, sizes = {2: 10, 5: 4, 9: 1}, {1: 9, 4: 5, 10: 2}
     null = ConfigurationNull(freqs, sizes)
     assert all(abs(null.p[i] @ null.md - k) < 1e-5 for i, k in enumerate(null.k))
     assert all(abs(null.mk @ null.p[:, j] - s) < 1e-5 for j, s in enumerate(null.d))
     for a, b in ((2, 2), (5, 9), (9, 5)):
-        q = [x for x, m in zip(null.p[null.at[a]] * null.p[null.at[b]], null.md, strict=True) for _ in range(int(m))]
-        pmf = [1.0]
-        for x in q:
-            pmf = [(pmf[i] if i < len(pmf) else 0) * (1 - x) + (pmf[i - 1] * x if i else 0) for i in range(len(pmf) + 1)]
+        q = [x for x, m in zip(null.probabilities(a) * null.probabilities(b), null.md, strict=True) for _ in range(int(m))]
         for c in range(7):
-            assert math.isclose(null.tail(a, b, c), sum(pmf[c:]), rel_tol=1e-6, abs_tol=1e-12)
+            assert math.isclose(null.tail(a, b, c), _tail(q, c), rel_tol=1e-6, abs_tol=1e-300), (a, b, c)
+
+
+def test_tails_far_out_and_of_large_counts():
+    for q, n, counts in ((0.71, 1000, (700, 710, 800, 1000)), (0.01, 400, (4, 60, 399)), (0.5, 3000, (1600, 2500))):
+        for c in counts:
+            exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(q) + (n - i) * math.log(1 - q)) for i in range(c, n + 1))
+            got = upper_tail(np.array([q]), np.array([float(n)]), c)
+            assert math.isclose(got, exact, rel_tol=1e-7, abs_tol=1e-300), (q, n, c)
+    assert upper_tail(np.array([0.3]), np.array([5.0]), 6) == 0.0 and upper_tail(np.array([0.3]), np.array([5.0]), 0) == 1.0
+
+
+def test_classes_stay_few(monkeypatch):
+    rng = random.Random(3)
+    freqs = {int(10 * 1.0008**i) + i: rng.randrange(1, 4) for i in range(9000)}
+    null = ConfigurationNull(freqs, {i: 9000 // i + 1 for i in range(1, 5000)}, rounds=20)
+    assert len(null.k) < 700 and len(null.d) < 500
+    few, sizes = {k: 60 // k + 1 for k in range(1, 40)}, {k: 60 // k + 1 for k in range(1, 40)}
+    fine = ConfigurationNull(few, sizes)
+    monkeypatch.setattr("evidentia.llm.cooccur.EXACT", 8)
+    rough = ConfigurationNull(few, sizes)
+    assert len(rough.k) < len(fine.k) + 1
+    for a, b in ((3, 17), (25, 31), (38, 39)):
+        assert math.isclose(rough.probabilities(a) @ rough.md, a, rel_tol=1e-3)
+        assert math.isclose(rough.expected(a, b), fine.expected(a, b), rel_tol=0.02)
 
 
 def test_surprise_has_ordered_values(spark):
@@ -118,6 +150,32 @@ def _texts(rng, n):
     return out
 
 
+def test_pivots_bound_the_distance_and_do_not_saturate():
+    rng = np.random.default_rng(4)
+    for size in (5, 60, 100, 300, 1000, 5000):
+        level, pruned = size.bit_length() - 1, 0
+        for n in range(40):
+            a = rng.integers(-(2**62), 2**62, size)
+            b = np.concatenate([a[: size * n // 40], rng.integers(-(2**62), 2**62, size - size * n // 40)])
+            apart = int(np.bitwise_count(counts_in_unary(a, level) ^ counts_in_unary(b, level)).sum())
+            assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+            pruned += n < 4 and 3 * apart > 2 * size
+        assert pruned >= 3, size
+
+
+def test_a_cluster_of_near_lines_lists_no_pairs(spark):
+    # A third of the lines near each other under one source.
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    lines = []
+    for n in range(3000):
+        w = list(base) if n % 3 == 0 else [f"x{rng.randrange(10**6)}" for _ in range(20)]
+        w[rng.randrange(len(w))] = f"y{n}"
+        lines.append((1, n, f"l{n}", "hot" if n % 3 == 0 else f"s{n % 50}", " ".join(w)))
+    b = spark.createDataFrame(lines, "batch_no int, line_no long, id string, source_id string, text string")
+    assert {r.id for r in admit(PivotTable(spark), b).collect()} == _admit([], lines)
+
+
 def test_batches_equal_the_sequential_rule(spark, monkeypatch):
     rng = random.Random(6)
     history = [(rng.choice(["s1", "s1", "s2", None, ""]), t) for t in _texts(rng, 150)] + [("s1", None), ("s1", ""), ("s1", "...")]
@@ -132,6 +190,9 @@ def test_batches_equal_the_sequential_rule(spark, monkeypatch):
     assert {r.id for r in admit(table, b).collect()} == want
     # One batch after the other over the growing table, with sources split into small parts.
     monkeypatch.setattr("evidentia.llm.batches.PART_ROWS", 7)
+    monkeypatch.setattr("evidentia.llm.batches.CHUNK", 9)
+    monkeypatch.setattr("evidentia.llm.batches.FAN", 3)
+    monkeypatch.setattr("evidentia.llm.batches.BROADCAST_BYTES", 0)
     table = PivotTable(spark)
     table.append(h)
     got = set()
