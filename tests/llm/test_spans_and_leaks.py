@@ -1,7 +1,9 @@
 import random
 import re
 
-from evidentia.llm.leaks import find_leaks, size_class, sketch_size
+import numpy as np
+
+from evidentia.llm.leaks import ItemSketches, find_leaks, size_class, sketch, wanted
 from evidentia.llm.spans import SpanIndex, shared_words
 
 
@@ -107,13 +109,16 @@ WORD = re.compile(r"[^\W_]+")
 
 def _leaks(docs, items, n):
     grams = lambda t: {tuple(w[i : i + n]) for w in [WORD.findall((t or "").lower())] for i in range(len(w) - n + 1)}
-    return {(d, i, len(grams(t) & grams(u))) for d, t in docs for i, u in items if grams(t) & grams(u)}
+    whole = {}
+    for i, u in items:
+        whole.setdefault(i, set()).update(grams(u))
+    return {(d, i, len(grams(t) & u)) for d, t in docs for i, u in whole.items() if grams(t) & u}
 
 
 def _eval(seed):
     rng = random.Random(seed)
     items = [(i, " ".join(rng.choice(["Alpha", "beta", "Gamma,", "delta-x", "Éta", "7"]) for _ in range(rng.randrange(3, 30)))) for i in range(40)]
-    items += [(40, None), (41, ""), (42, "one two"), (43, items[0][1])]
+    items += [(40, None), (41, ""), (42, "one two"), (43, items[0][1]), (3, items[5][1])]
     docs = []
     for d in range(120):
         w = [rng.choice(["zeta", "beta", "omega"]) for _ in range(rng.randrange(30))]
@@ -132,9 +137,9 @@ def test_leaks_equal_brute_force_on_both_paths(spark):
     want = _leaks(docs, items, 5)
     assert want
     for limit in (1 << 20, 0):
-        got = {tuple(r) for r in find_leaks(d, i, n=5, broadcast_bytes=limit).collect()}
+        got = {tuple(r) for r in find_leaks(d, i, n=5, item_bytes=limit).collect()}
         assert got == want
-        assert find_leaks(d.where("false"), i, n=5, broadcast_bytes=limit).count() == 0
+        assert find_leaks(d.where("false"), i, n=5, item_bytes=limit).count() == 0
     assert find_leaks(d, i.where("false"), n=5).count() == 0
 
 
@@ -142,12 +147,34 @@ def test_containment_threshold_loses_nothing(spark):
     docs, items = _eval(8)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
-    grams = {k: len({tuple(w[x : x + 5]) for w in [WORD.findall((t or "").lower())] for x in range(len(w) - 4)}) for k, t in items}
-    want = {(a, b) for a, b, n in _leaks(docs, items, 5) if n >= 0.5 * grams[b]}
+    grams = {}
+    for k, t in items:
+        w = WORD.findall((t or "").lower())
+        grams.setdefault(k, set()).update(tuple(w[x : x + 5]) for x in range(len(w) - 4))
+    want = {(a, b) for a, b, n in _leaks(docs, items, 5) if n >= 0.5 * len(grams[b])}
     for limit in (1 << 20, 0):
-        assert {(r.doc_id, r.item_id) for r in find_leaks(d, i, n=5, containment=0.5, broadcast_bytes=limit).collect()} == want
+        assert {(r.doc_id, r.item_id) for r in find_leaks(d, i, n=5, containment=0.5, item_bytes=limit).collect()} == want
 
 
 def test_size_classes():
     assert [size_class(n) for n in (1, 2, 3, 4, 5, 8, 9)] == [1, 2, 4, 4, 8, 8, 16]
-    assert sketch_size(16, 0.0) == 16 and sketch_size(16, 1.0) == 8
+    assert wanted(16, 0.0) == 1 and wanted(16, 1.0) == 9 and wanted(9, 0.5) == 5
+
+
+def test_sketches_are_shorter_than_the_items():
+    text = " ".join(f"w{i}" for i in range(400))
+    whole, half, most = (ItemSketches([(1, text)], 10, t) for t in (0.0, 0.5, 0.9))
+    assert len(whole.anchors) < 0.45 * len(whole.hashes)
+    assert len(most.anchors) < len(half.anchors) < 0.7 * len(whole.anchors)
+    # Whatever shingles are wanted, an anchor of theirs is kept.
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        anchors = rng.integers(0, 12, rng.integers(1, 60)).astype(np.uint64)
+        kept = set(sketch(anchors, 0.5).tolist())
+        assert sum(a not in kept for a in anchors.tolist()) < wanted(len(anchors), 0.5)
+
+
+def test_built_arrays_are_bounded():
+    items = [(i, " ".join(f"w{i}_{k % 300}" for k in range(3000))) for i in range(100)]
+    size = sum(len(t) for _, t in items)
+    assert ItemSketches(items, 10, 0.0).nbytes < 12 * size
