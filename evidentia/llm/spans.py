@@ -5,10 +5,17 @@ words (``gram``) inside it, so equal windows have equal anchors wherever they st
 neighbouring windows mostly share one: the index holds each record's distinct anchors, about one
 in ``(length - gram + 2) / 2`` words, instead of all windows.
 
-``SpanIndex`` keeps them in immutable runs, bucketed by the anchor and sorted inside each bucket.
-A new batch writes one run; finding anchors of several records is a merge of the sorted runs
-without a shuffle; ``compact`` merges all runs into one. What the anchors point to is then
-verified: the windows of exactly those records and anchors are taken from the texts again and
+``SpanIndex`` keeps them in immutable runs, bucketed by the anchor and sorted inside each bucket;
+the number of buckets follows from the size of the first batch, and again at each compaction. A new
+batch writes one run; finding anchors of several records is a merge of the sorted runs without a
+shuffle; ``compact`` merges all runs into one.
+
+An anchor that stands in very many records would fill a bucket of its own. Such anchors are found in
+one of ``SAMPLE`` records before a run is written (at ``HOT`` of these or more); their rows are
+scattered over ``SALTS`` places, and as they are known to be shared, they need not be met in a bucket. The
+sample decides where rows lie, never whether they count.
+
+What the anchors point to is then verified: the windows of exactly those records and anchors are taken from the texts again and
 compared by two independent 64-bit hashes of their words, so two windows count as equal only if
 128 bits agree.
 
@@ -23,6 +30,7 @@ columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.words import run_hashes, sliding_min
-from evidentia.scratch import materialise, write_sorted_run
+from evidentia.scratch import bounded, materialise, release, write_sorted_run
 
 BASE_1, BASE_2, BASE_3 = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
+#: One record in so many is looked at for frequent anchors; how many of these make an anchor hot; places its rows are scattered over.
+SAMPLE, HOT, SALTS = 64, 64, 256
+#: Input bytes per bucket of a run, buckets at most, bytes of hot anchors that are broadcast.
+BUCKET_BYTES, MOST_BUCKETS, BROADCAST_BYTES = 64 << 20, 16_384, 8 << 20
+
 #: Words are what stands between these.
 GAPS = "[ \\t\\n\\r]+"
 
@@ -64,9 +77,15 @@ class SpanIndex:
     """Sorted runs of (anchor, record); ``length`` words make a span."""
 
     def __init__(self, spark: SparkSession, length: int = 40, gram: int = 16, buckets: int | None = None):
-        self.spark, self.length, self.gram = spark, length, gram
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.length, self.gram, self.buckets = spark, length, gram, buckets
         self.runs: list[DataFrame] = []
+        self.hot: DataFrame | None = None  # column ``anchor``
+
+    def _sized(self, *tables: DataFrame) -> int:
+        """Buckets for the planner's estimate of the tables' bytes, from file sizes; an estimate beyond a petabyte means that it knows none."""
+        bytes_ = sum(int(str(t._jdf.queryExecution().analyzed().stats().sizeInBytes())) for t in tables)
+        bytes_ = 0 if bytes_ > 1 << 50 else bytes_
+        return min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES)))
 
     def append(self, batch: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Write the run of a new batch; earlier runs stay as they are."""
@@ -83,27 +102,61 @@ class SpanIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), b.column(0).take(pa.array(row[new]))], names=["anchor", "record"])
 
         kind = batch.schema[key].dataType.simpleString()
-        cut = batch.where(F.col(text).isNotNull()).select(F.col(key).alias("record"), word_codes(text).alias("codes")).where(F.size("codes") >= length)
-        self.runs.append(write_sorted_run(cut.mapInArrow(anchors, f"anchor bigint, record {kind}"), "span_run", "anchor", self.buckets))
+        if self.buckets is None:
+            self.buckets = self._sized(batch)
+        cut = batch.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("record"), F.col(text).alias("text"))
+        coded = lambda rows: rows.select("record", word_codes("text").alias("codes")).where(F.size("codes") >= length).mapInArrow(anchors, f"anchor bigint, record {kind}")
+        some = coded(cut.where(F.pmod(F.xxhash64("record"), F.lit(SAMPLE)) == 0))
+        hot = some.groupBy("anchor").agg(F.countDistinct("record").alias("n")).where(F.col("n") >= HOT).select("anchor")
+        self._heat(hot)
+        self.runs.append(write_sorted_run(self._placed(coded(cut)), "span_run", "spot", self.buckets))
+
+    def _heat(self, hot: DataFrame) -> None:
+        new = materialise(hot if self.hot is None else hot.unionByName(self.hot).distinct(), "span-hot")
+        if new.take(1):
+            self.hot = new
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """``anchor, record`` with ``spot``: the anchor, or one of ``SALTS`` places if it is hot."""
+        if self.hot is None:
+            return rows.withColumn("spot", F.col("anchor"))
+        marked = rows.join(bounded(self.hot, BROADCAST_BYTES).withColumn("hot", F.lit(True)), "anchor", "left")
+        salted = F.xxhash64("anchor", F.pmod(F.xxhash64("record"), F.lit(SALTS)))
+        return marked.select("anchor", "record", F.when(F.col("hot"), salted).otherwise(F.col("anchor")).alias("spot"))
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one; the old ones are deleted."""
         if len(self.runs) > 1:
-            self.runs = [write_sorted_run(self._merged().distinct(), "span_run", "anchor", self.buckets)]
+            old = self.runs
+            self.buckets = self._sized(*old)
+            self.runs = [write_sorted_run(self._placed(self._merged().select("anchor", "record")), "span_run", "spot", self.buckets)]
+            release(*old)
+
+    def drop(self) -> None:
+        """Delete the runs."""
+        release(*self.runs)
+        self.runs = []
 
     def _merged(self) -> DataFrame:
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        return merged
+        return reduce(DataFrame.unionByName, self.runs)
 
     def candidates(self, records: DataFrame | None = None) -> DataFrame:
         """(record, anchor) of every anchor that several records hold; with ``records``, only anchors these hold."""
-        runs = self._merged()
-        several = runs.groupBy("anchor").agg(F.min("record").alias("low"), F.max("record").alias("high")).where("low <> high").select("anchor")
+        cold = runs = self._merged()
+        hot = None
+        if self.hot is not None:
+            side = bounded(self.hot, BROADCAST_BYTES)
+            cold, hot = runs.join(side, "anchor", "left_anti"), runs.join(side, "anchor", "left_semi")
+        # Where no anchor is hot, a spot is an anchor.
+        several = cold.groupBy("spot").agg(F.min("record").alias("low"), F.max("record").alias("high")).where("low <> high").select("spot")
         if records is not None:
-            several = several.join(runs.join(records, "record", "left_semi").select("anchor"), "anchor", "left_semi")
-        return runs.join(several, "anchor")
+            several = several.join(cold.join(records, "record", "left_semi").select("spot"), "spot", "left_semi")
+        out = cold.join(several, "spot").select("record", "anchor")
+        if hot is not None:
+            if records is not None:
+                hot = hot.join(hot.join(records, "record", "left_semi").select("anchor").distinct(), "anchor", "left_semi")
+            out = out.unionByName(hot.select("record", "anchor"))
+        return out
 
     def shared_spans(self, texts: DataFrame, key: str = "doc_id", text: str = "text", new: DataFrame | None = None) -> DataFrame:
         """``key, from_word, to_word, n_words``: longest stretches of shared words of each record.

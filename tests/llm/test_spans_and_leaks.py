@@ -87,7 +87,31 @@ def test_runs_join_without_a_shuffle(spark):
     index = SpanIndex(spark, 10, 4)
     index.append(df)
     plan = index.candidates()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning(anchor" not in plan
+    assert "Exchange hashpartitioning(spot" not in plan
+
+
+def test_hot_anchors_are_scattered(spark, monkeypatch):
+    for name, value in (("SAMPLE", 2), ("HOT", 3), ("SALTS", 5)):
+        monkeypatch.setattr(f"evidentia.llm.spans.{name}", value)
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(25))
+    docs = _corpus(7, 40) + [(2000 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + common) for k in range(300)]
+    df = _frame(spark, docs)
+    index = SpanIndex(spark, 10, 4)
+    index.append(df.where("doc_id % 3 <> 1 or doc_id < 2000"))
+    index.append(df.where("doc_id % 3 = 1 and doc_id >= 2000"))
+    assert index.hot.count() > 0
+    want = _shared(docs, 10)
+    assert _found(index.shared_spans(df)) == want
+    index.compact()
+    # No bucket place holds all rows of an anchor.
+    assert index.runs[0].groupBy("spot").count().agg({"count": "max"}).first()[0] < 120 < index.runs[0].groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert _found(index.shared_spans(df)) == want
+    new = df.where("doc_id % 3 = 2").selectExpr("doc_id as record")
+    assert {x for x in want if x[0] % 3 == 2} == {x for x in _found(index.shared_spans(df, new=new)) if x[0] % 3 == 2}
+    table = index.runs[0].scratch_table
+    index.drop()
+    assert not spark.catalog.tableExists(table)
 
 
 def test_share_and_empty(spark):

@@ -75,3 +75,13 @@ def test_column(spark, encoder):
     got = {r.doc_id: r.ids for r in encode_column(df, "doc_id", "text").collect()}
     assert got == {i: encoder.encode(t) for i, t, _ in rows}
     assert encode_column(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_latin_texts_are_cut_alike():
+    from evidentia.llm.tokenise import _CUT, _LATIN_CUT, _NOT_LATIN, cut
+
+    for c in map(chr, range(0x3000)):
+        for text in (c, f"a{c}b", f" {c} ", f"1{c}{c}2", f"'{c}s  {c}x"):
+            assert cut(text) == _CUT.findall(text), (hex(ord(c)), text)
+            if not _NOT_LATIN.search(text):
+                assert _LATIN_CUT.findall(text) == _CUT.findall(text), (hex(ord(c)), text)
