@@ -166,11 +166,11 @@ class PivotTable:
             self.parts = None
 
     def append_rows(self, rows: DataFrame) -> None:
-        """Add the accepted lines of a batch; of every ``FAN`` such pieces a bulk piece is made."""
-        self.small.append(materialise(rows, "pivot-lines"))
+        """Add the accepted lines of a batch; of every ``FAN`` such pieces a bulk piece is made before the next one."""
         if len(self.small) >= FAN:
             merged, self.small = self.small, []
             self._add(materialise(reduce(DataFrame.unionByName, merged).drop("fine"), "pivot-cut"))
+        self.small.append(materialise(rows, "pivot-lines"))
 
     def rows(self, buckets: list[int] | None = None) -> DataFrame | None:
         bulk = [b if buckets is None else b.where(F.col("bucket").isin(buckets)) for b in self.bulk]
