@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.words import SPACE
+from evidentia.scratch import materialise
 
 
 def normalise(text: Column) -> Column:
@@ -35,5 +36,17 @@ def first_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def with_sequence(new: DataFrame, last: int, *order: str) -> DataFrame:
-    """``seq`` from ``last + 1`` on, in the given order. Meant for one write batch, which is numbered in one task."""
-    return new.withColumn("seq", F.row_number().over(W.orderBy(*order)) + F.lit(last))
+    """``seq`` from ``last + 1`` on, in the given order.
+
+    The rows are cut into ranges of the order and sorted in each; one number per range, its row count,
+    tells where the next one starts. No task holds more than its range.
+    """
+    parts = materialise(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sequence")
+    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row per range
+    starts, total = [], last
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    base = parts.sparkSession.createDataFrame(starts, "_part int, _base long")
+    within = F.row_number().over(W.partitionBy("_part").orderBy("_at"))
+    return parts.join(F.broadcast(base), "_part").withColumn("seq", within + F.col("_base")).drop("_part", "_at", "_base")

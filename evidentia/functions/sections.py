@@ -18,7 +18,10 @@ CHUNK, OVERLAP = 1500, 100
 
 SECTION = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "title", "text")]))
 
-_HEAD = re.compile(r"^(#{1,6})[ \t]+(\S.*)$", re.MULTILINE)
+#: Fixed value: a markdown heading, with up to three blanks before it.
+HEADING = r"^[ \t]{0,3}(#{1,6})[ \t]+(.+?)[ \t]*$"
+
+_HEAD = re.compile(HEADING, re.MULTILINE)
 
 
 def tokens(text: Column) -> Column:
@@ -109,5 +112,11 @@ def article_sections_udf(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def sections(df: DataFrame, key: str, text: str, drop_kinds: tuple[str, ...] = ("abstract", "bibliography")) -> DataFrame:
     """``key, id, kind, title, text`` of each markdown section, without the kinds that carry no claims."""
-    rows = df.where(F.col(text).rlike(r"(?m)^#{1,6}[ \t]+\S")).select(key, F.inline(markdown_sections_udf(F.col(text))))
+    rows = df.where(F.col(text).rlike("(?m)" + HEADING)).select(key, F.inline(markdown_sections_udf(F.col(text))))
     return rows.where(~F.col("kind").isin(*drop_kinds))
+
+
+def first_body(found: Column, pattern: str) -> Column:
+    """Text of the first section whose kind or title matches, in any case; an empty text if none does. ``found``: an array of sections."""
+    fits = lambda x: F.coalesce(x["kind"].rlike(f"(?i){pattern}"), F.lit(False)) | F.coalesce(x["title"].rlike(f"(?i){pattern}"), F.lit(False))
+    return F.coalesce(F.get(F.filter(found, fits), F.lit(0))["text"], F.lit(""))

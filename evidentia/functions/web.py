@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import html
+import ipaddress
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.words import SPACE
 
 #: Fixed value: article addresses that can be fetched, the id with an optional version.
-ARTICLE_URL = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$"
+ARTICLE_URL = r"(?i)^(?:https?://)?(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$"
 
 #: Fixed value: ids of the older style, named in the refusal.
-OLD_ARTICLE_URL = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/[a-z-]+(?:\.[a-z]{2})?/\d{7}"
+OLD_ARTICLE_URL = r"(?i)^(?:https?://)?(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/[a-z-]+(?:\.[a-z-]+)?/\d{7}"
+
+#: Fixed value: blocks of IPv4 addresses that the registry of special-purpose addresses keeps from the public network, as first address and prefix length.
+INNER_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+)
+
+#: Fixed value: two addresses inside these blocks that are public all the same.
+OUTER_V4 = ("192.0.0.9", "192.0.0.10")
+
+#: Fixed value: names of hosts, and ends of names, that lead inside.
+INNER_NAMES, INNER_ENDS = ("localhost", "metadata.google.internal"), (".localhost", ".local", ".internal")
 
 
 def article_id(url: Column) -> Column:
@@ -39,25 +57,89 @@ def web_id(url: Column) -> Column:
     return F.concat(F.lit("web_"), F.substring(F.sha1(canonical(url)), 1, 16))
 
 
-def is_public(url: Column) -> Column:
-    """Whether an http(s) address names a host outside loopback, private and link-local ranges, without credentials."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), r"^[^@]*@", ""), r":\d+$", "")
-    inner = r"^(localhost|.*\.localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|0\..*|172\.(1[6-9]|2\d|3[01])\..*|\[.*)$"
-    return F.coalesce(F.lower(_part(url, 1)).isin("http", "https") & (host != "") & ~_part(url, 2).contains("@") & ~host.rlike(inner), F.lit(False))
+def _v4(host: Column) -> Column:
+    """The number of a dotted quad without leading zeros, null for any other host."""
+    octet = r"(0|[1-9]\d{0,2})"
+    quad = F.regexp_extract_all(host, F.lit(rf"^{octet}\.{octet}\.{octet}\.{octet}$"), F.lit(0))
+    parts = F.transform(F.split(F.get(quad, F.lit(0)), r"\."), lambda x: x.cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
+    return F.when(F.forall(parts, lambda x: x <= 255), number)
 
 
-def article_body(html: Column) -> Column:
+@F.pandas_udf(T.BooleanType())
+def _global_v6(host: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(h: str | None) -> bool | None:
+        try:
+            return None if h is None else ipaddress.IPv6Address(h).is_global
+        except ValueError:
+            return False
+
+    for h in host:
+        yield h.map(one).astype("boolean")
+
+
+def is_public(url: Column) -> Column:
+    """Whether an http(s) address leads outside: no credentials, port 80 or 443 if any, no local name, and no inner address.
+
+    A host that only looks like an address is a name. Addresses of the sixth version stand in brackets.
+    """
+    place = F.lower(_part(url, 2))
+    port = F.regexp_extract(place, r":(\d*)$", 1)
+    host = F.regexp_replace(F.regexp_replace(place, r":[^:\]]*$", ""), r"\.+$", "")
+    usual = F.regexp_replace(port, "^0+(?=.)", "").isin("", "80", "443") & ~place.rlike(r":[^:\]]*[^:\]\d][^:\]]*$")
+    number, inner = _v4(host), F.lit(False)
+    for block in INNER_V4:
+        net = ipaddress.IPv4Network(block)
+        inner = inner | number.between(int(net.network_address), int(net.broadcast_address))
+    inner = inner & ~number.isin(*(int(ipaddress.IPv4Address(a)) for a in OUTER_V4))
+    local = host.isin(*INNER_NAMES)
+    for end in INNER_ENDS:
+        local = local | host.endswith(end)
+    six = F.when(host.startswith("["), F.regexp_extract(host, r"^\[(.*)\]$", 1))
+    open_ = F.when(six.isNotNull(), _global_v6(six)).when(number.isNotNull(), ~inner).otherwise(~local)
+    return F.coalesce(F.lower(_part(url, 1)).isin("http", "https") & (host != "") & ~place.contains("@") & usual & open_, F.lit(False))
+
+
+def article_body(page: Column) -> Column:
     """Inside of ``<article>``, else of ``<main>``, else the whole page."""
-    inside = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)
-    has = lambda tag: html.rlike(rf"(?is)<{tag}\b[^>]*>.*</{tag}>")
-    return F.when(has("article"), inside("article")).when(has("main"), inside("main")).otherwise(html)
-
-
-def strip_tags(html: Column) -> Column:
-    """Text without tags and without script and style bodies; entities of the markup itself decoded; spaces collapsed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"</?[A-Za-z][^<>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, SPACE + "+", " "))
+    inside = lambda tag: F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)
+    has = lambda tag: page.rlike(rf"(?is)<{tag}\b[^>]*>.*</{tag}>")
+    return F.when(has("article"), inside("article")).when(has("main"), inside("main")).otherwise(page)
+
+
+def _untagged(page: Column, headings: bool) -> Column:
+    t = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"<[!?][^>]*>", "")
+    if headings:
+        for n in range(1, 7):
+            t = F.regexp_replace(t, rf"(?i)<h{n}(\s[^<>]*)?>", "\n\n" + "#" * n + " ")
+        t = F.regexp_replace(t, r"(?i)</h[1-6]\s*>", "\n")
+    return F.regexp_replace(t, r"</?[A-Za-z][^<>]*>", "")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Entities decoded as a browser does."""
+    for t in text:
+        yield t.map(html.unescape, na_action="ignore")
+
+
+def strip_tags(page: Column, headings: bool = False) -> Column:
+    """Text without tags, comments, script and style bodies; entities decoded, also those that were written twice over; spaces collapsed.
+
+    With ``headings`` the lines are kept, and h1 to h6 become markdown headings.
+    """
+    t = _decoded(_untagged(page, headings))
+    if not headings:
+        return _trimmed(_decoded(F.regexp_replace(t, SPACE + "+", " ")))
+    lines = F.regexp_replace(_decoded(t), rf"(?:(?!\n){SPACE})+", " ")
+    return _trimmed(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def abstract_of(page: Column, most: int = 1200) -> Column:
+    """The beginning of a page's text, in place of an abstract."""
+    return F.substring(strip_tags(article_body(page)), 1, most)

@@ -6,10 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def ideas_without_leaves(ideas: DataFrame, leaves: DataFrame) -> DataFrame:
-    return ideas.select("id").distinct().join(leaves.select(F.col("idea_id").alias("id")), "id", "left_anti")
+def ideas_without_leaves(ideas: DataFrame, leaves: DataFrame, sources: DataFrame) -> DataFrame:
+    """Ideas to which no leaf leads whose source exists."""
+    held = leaves.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("idea_id").alias("id"))
+    return ideas.select("id").distinct().join(held, "id", "left_anti")
 
 
 def index_missing(leaves: DataFrame, index: DataFrame) -> DataFrame:
@@ -78,3 +81,45 @@ def split_guard(assigned: DataFrame, owned: DataFrame) -> DataFrame:
     twice = assigned.groupBy("leaf_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("leaf_id", F.lit("twice").alias("problem"))
     stolen = assigned.select("leaf_id").distinct().join(owned.select("leaf_id"), "leaf_id", "left_anti").withColumn("problem", F.lit("stolen"))
     return twice.unionByName(stolen)
+
+
+def counts_by(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def share_by(df: DataFrame, key: str, flag: str) -> DataFrame:
+    """``key, n, hit, share``: rows, rows with the flag, and their share."""
+    hit = F.sum(F.col(flag).cast("long"))
+    return df.groupBy(key).agg(F.count("*").alias("n"), hit.alias("hit"), F.round(hit / F.count("*"), 3).alias("share"))
+
+
+def phase_report(sources: DataFrame, ideas: DataFrame, leaves: DataFrame, ceiling: int = 16) -> DataFrame:
+    """One row: what the store holds, and what should not be. Only leaves with both ends count.
+
+    An idea without leaves is a hypothesis if it was synthesised, and a broken write if not.
+    """
+    held = leaves.join(sources.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi").join(ideas.select(F.col("id").alias("idea_id")).distinct(), "idea_id", "left_semi")
+    per = held.groupBy("idea_id").agg(F.countDistinct("source_id").alias("s"), F.countDistinct("id").alias("n"))
+    bare = ideas.select("id", "origin").distinct().join(per.select(F.col("idea_id").alias("id")), "id", "left_anti")
+    made = F.col("origin").eqNullSafe("synthesized")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    row = held.agg(F.countDistinct("source_id").alias("sources"), F.countDistinct("id").alias("theses"))
+    row = row.crossJoin(ideas.agg(F.countDistinct("id").alias("ideas")))  # one row each
+    row = row.crossJoin(per.agg(F.round(F.avg((F.col("s") >= 2).cast("int")), 3).alias("multi_source"), n(F.col("n") > ceiling).alias("over_ceiling")))
+    return row.crossJoin(bare.agg(n(~made).alias("broken"), n(made).alias("hypotheses")))
+
+
+def truncated(schema: T.StructType, limits: dict[str, int]) -> Column:
+    """Paths, at any depth, of the texts that are exactly as long as their limit; a list's path is that of its entries, given once."""
+
+    def at(field: Column, kind: T.DataType, path: str) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [c for f in kind.fields for c in at(field[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StringType):
+                return [F.when(F.coalesce(F.exists(field, lambda x: at_limit(x, limits[path])), F.lit(False)), F.lit(path))] if path in limits else []
+            return [c for f in getattr(kind.elementType, "fields", []) for c in at(field[f.name], T.ArrayType(f.dataType), f"{path}.{f.name}")]
+        return [F.when(at_limit(field, limits[path]), F.lit(path))] if path in limits and isinstance(kind, T.StringType) else []
+
+    marks = [c for f in schema.fields for c in at(F.col(f.name), f.dataType, f.name)]
+    return F.filter(F.array(*marks), lambda x: x.isNotNull())

@@ -84,14 +84,42 @@ def derived_from(children: DataFrame, ideas: DataFrame) -> DataFrame:
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Co-citation edges after new evidence ``source_id, target_id, weight, evidence`` (one row per contributing record).
+    """Evidence of co-citation after new rows ``source_id, target_id, evidence, weight`` (one per contributing record).
 
-    A record that an edge already lists adds nothing, so a replay changes no weight.
+    Evidence is kept as rows, so an edge may have any number of records; one that is there already
+    adds nothing, and a replay changes no weight. ``edge_weights`` adds them up.
     """
-    fresh = new.join(old.select("source_id", "target_id", F.explode("evidence").alias("evidence")), ["source_id", "target_id", "evidence"], "left_anti")
-    fresh = fresh.dropDuplicates(["source_id", "target_id", "evidence"]).groupBy("source_id", "target_id").agg(F.sum("weight").alias("more"), F.sort_array(F.collect_set("evidence")).alias("by"))
-    out = old.join(fresh, ["source_id", "target_id"], "full_outer")
-    return out.select("source_id", "target_id", (F.coalesce("weight", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("weight"), F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.coalesce("by", F.array().cast("array<string>"))).alias("evidence"))
+    fresh = new.select(old.columns).dropDuplicates(["source_id", "target_id", "evidence"])
+    return old.unionByName(fresh.join(old.select("source_id", "target_id", "evidence"), ["source_id", "target_id", "evidence"], "left_anti"))
+
+
+def edge_weights(evidence: DataFrame) -> DataFrame:
+    """``source_id, target_id, weight, records``."""
+    return evidence.groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("records"))
+
+
+def edge_problems(edges: DataFrame, ideas: DataFrame) -> DataFrame:
+    """``source_id, target_id, problem`` of symmetric edges that may not be written: an end that is no idea, both ends the same, only one direction."""
+    known = lambda c: ideas.select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))
+    back = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")).distinct().withColumn("_back", F.lit(True))
+    rows = edges.join(known("source_id"), "source_id", "left").join(known("target_id"), "target_id", "left").join(back, ["source_id", "target_id"], "left")
+    problem = F.when(F.col("source_id") == F.col("target_id"), "loop").when(F.col("_source_id").isNull() | F.col("_target_id").isNull(), "end is missing").when(F.col("_back").isNull(), "one direction")
+    return rows.select("source_id", "target_id", problem.alias("problem")).where(F.col("problem").isNotNull()).distinct()
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """``id, degree``: distinct neighbours, whichever way an edge points."""
+    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other")))
+    return both.where(F.col("id") != F.col("other")).groupBy("id").agg(F.countDistinct("other").alias("degree"))
+
+
+def exported(leaves: DataFrame, edges: DataFrame) -> DataFrame:
+    """``kind, from_id, to_id, weight`` of all relations, as a graph store takes them; no node relates to itself."""
+    row = lambda df, kind, a, b, w: df.select(F.lit(kind).alias("kind"), F.col(a).alias("from_id"), F.col(b).alias("to_id"), w.cast("double").alias("weight"))
+    yields = row(leaves, "YIELDS", "source_id", "id", F.lit(1.0))
+    has = row(leaves, "HAS_LEAF", "idea_id", "id", F.lit(1.0))
+    out = yields.unionByName(has).unionByName(row(edges, "RELATED", "source_id", "target_id", F.col("weight")))
+    return out.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & (F.col("from_id") != F.col("to_id"))).distinct()
 
 
 def top_by(df: DataFrame, keys: list[str], k: int, *order) -> DataFrame:

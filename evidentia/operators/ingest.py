@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.identity import first_per_key, text_hash
+from evidentia.functions.identity import first_per_key, text_hash, with_sequence
+from evidentia.operators.models import Extractor
 
 #: Statements kept per section and per document.
 PER_SECTION, PER_DOCUMENT = 6, 30
@@ -59,3 +63,60 @@ def judge_leaves(leaves: DataFrame, most: int = 16) -> DataFrame:
     order = [F.col("run_success").isNull().cast("int"), F.coalesce("created_at", F.lit("")), F.col("id")]
     rows = leaves.where(F.col("idea_id").isNotNull()).select("idea_id", "id", "run_success", "created_at").distinct()
     return rows.withColumn("place", F.row_number().over(W.partitionBy("idea_id").orderBy(*order))).where(F.col("place") <= most).select("idea_id", "id", "place")
+
+
+def by_first_appearance(rows: DataFrame, group: str, line: str) -> DataFrame:
+    """``group, first_line, lines, place``: groups in the order in which they first appear."""
+    per = rows.groupBy(group).agg(F.min(line).alias("first_line"), F.count("*").alias("lines"))
+    return with_sequence(per, 0, "first_line", group).withColumnRenamed("seq", "place")
+
+
+def section_report(drafts: DataFrame, doc: str, section: str, order: str, per_section: int = PER_SECTION, per_doc: int = PER_DOCUMENT) -> DataFrame:
+    """``doc, section, found, dropped, parsed``: what each section yields.
+
+    Sections are read in order until the document's ceiling is reached; those after it are not
+    parsed, and the section that crosses it loses what is over.
+    """
+    some = drafts.withColumn("n", F.row_number().over(W.partitionBy(doc, section).orderBy(order)))
+    found = some.groupBy(doc, section).agg(F.sum((F.col("n") <= per_section).cast("long")).alias("found"))
+    before = F.coalesce(F.sum("found").over(W.partitionBy(doc).orderBy(section).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = found.withColumn("before", before).withColumn("parsed", F.col("before") < per_doc)
+    over = F.greatest(F.lit(0), F.col("before") + F.col("found") - per_doc)
+    zero = F.lit(0).cast("long")
+    return rows.select(doc, section, F.when(F.col("parsed"), F.col("found")).otherwise(zero).alias("found"), F.when(F.col("parsed"), over).otherwise(zero).alias("dropped"), "parsed")
+
+
+def cache_keys(sections: DataFrame, text: str, prompt: str) -> DataFrame:
+    """``section_hash, prompt_hash`` of extractions: another text or another prompt is another call."""
+    return sections.select(F.md5(text).alias("section_hash"), F.md5(F.lit(prompt)).alias("prompt_hash")).distinct()
+
+
+def extraction_calls(sections: DataFrame, text: str, prompt: str, cache: DataFrame) -> DataFrame:
+    """``section_hash, prompt_hash, sections, cached``: one row per call that an extraction needs, and whether it was made before."""
+    keys = ["section_hash", "prompt_hash"]
+    rows = sections.select(F.md5(text).alias("section_hash"), F.md5(F.lit(prompt)).alias("prompt_hash"))
+    known = cache.select(*keys).distinct().withColumn("hit", F.lit(True))
+    return rows.groupBy(*keys).agg(F.count("*").alias("sections")).join(known, keys, "left").select(*keys, "sections", F.coalesce("hit", F.lit(False)).alias("cached"))
+
+
+def extract(sections: DataFrame, text: str, prompt: str, cache: DataFrame, extractor: Extractor) -> DataFrame:
+    """Cache rows (``section_hash, prompt_hash, drafts``) after an extraction: each missing text is extracted once, whatever repeats it.
+
+    A failed call leaves no row, so that it is made again.
+    """
+    keys = ["section_hash", "prompt_hash"]
+    rows = sections.select(F.col(text).alias("text"), F.md5(text).alias("section_hash"), F.md5(F.lit(prompt)).alias("prompt_hash")).where(F.col("text").isNotNull())
+    missing = rows.dropDuplicates(keys).join(cache.select(*keys), keys, "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                try:
+                    out.append((r.section_hash, r.prompt_hash, list(extractor.extract(r.text, prompt))[:PER_SECTION]))
+                except Exception:  # noqa: BLE001 - the call is made again next time
+                    continue
+            yield pd.DataFrame(out, columns=[*keys, "drafts"])
+
+    made = missing.select("text", *keys).mapInPandas(run, "section_hash string, prompt_hash string, drafts array<string>")
+    return cache.select(*keys, "drafts").unionByName(made)

@@ -1,14 +1,24 @@
-"""The durable job queue in batch form, and limits on callers."""
+"""The durable job queue in batch form, and limits on callers.
+
+Rules that go through events in order (the states of a job, the calls of a client) are folded by
+sorted partitions: a key's events pass one after another, and only its state is held.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATUSES = ("queued", "running", "staged", "ok", "failed")
-#: Attempts per phase, finished jobs kept, calls a client may make in a window of seconds.
-ATTEMPTS, KEEP, CALLS, SECONDS = 3, 200, 120, 60
+#: States in which a job holds its key.
+LIVE = ("queued", "running", "staged")
+#: Attempts per phase, finished jobs kept, calls a client may make in a window of seconds, unfinished jobs at most.
+ATTEMPTS, KEEP, CALLS, SECONDS, CEILING = 3, 200, 120, 60, 100
 
 
 def last_event(events: DataFrame, job: str, *order: str) -> DataFrame:
@@ -33,17 +43,135 @@ def claim(jobs: DataFrame, status: str, *order: str) -> DataFrame:
     return jobs.where(F.col("status") == status).orderBy(*order).limit(1)
 
 
+def claims(jobs: DataFrame, status: str, workers: int, *order: str) -> DataFrame:
+    """``worker`` and the job it takes: the oldest jobs in a status, one per worker, none twice."""
+    # Only as many rows as workers outlive the top-k, so one task numbers them.
+    oldest = jobs.where(F.col("status") == status).orderBy(*order).limit(workers)
+    return oldest.withColumn("worker", F.row_number().over(W.orderBy(*order)) - 1)
+
+
+def backlog(jobs: DataFrame, status: str = "status", ceiling: int = CEILING) -> DataFrame:
+    """One row: unfinished jobs, and whether the queue takes no more."""
+    n = jobs.agg(F.coalesce(F.sum(F.col(status).isin(*LIVE).cast("long")), F.lit(0)).alias("waiting"))
+    return n.withColumn("full", F.col("waiting") >= ceiling)
+
+
+def merged_registers(durable: DataFrame, running: DataFrame, key: str, created: str, limit: int) -> DataFrame:
+    """The newest ``limit`` jobs of both registers; where both know a job, the durable one is right."""
+    rows = durable.unionByName(running.join(durable.select(key), key, "left_anti"))
+    return rows.orderBy(F.desc(created), key).limit(limit)
+
+
 def enqueue(requests: DataFrame, key: str, payload: str, *order: str) -> DataFrame:
     """``key, first, conflict, requests``: the request that becomes the job, and whether a later one with its key differs."""
     digest = F.md5(F.coalesce(F.col(payload), F.lit("")))
     return requests.groupBy(key).agg(F.min(F.struct(*order)).alias("f"), (F.countDistinct(digest) > 1).alias("conflict"), F.count("*").alias("requests")).select(key, F.col(f"f.{order[-1]}").alias("first"), "conflict", "requests")
 
 
-def rate_limit(calls: DataFrame, client: str, ts: str, limit: int = CALLS, seconds: int = SECONDS) -> DataFrame:
-    """``calls`` with ``in_window`` (calls of the client in the last ``seconds``, this one included) and ``allowed``."""
-    at = F.unix_micros(ts)
-    window = W.partitionBy(client).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return calls.withColumn("in_window", F.count("*").over(window)).withColumn("allowed", F.col("in_window") <= limit)
+def enqueue_live(log: DataFrame, key: str, payload: str, ends: str, *order: str) -> DataFrame:
+    """Requests of a log (``ends``: whether a row ends the live job of its key) with ``outcome`` and ``job``.
+
+    A request with a free key is accepted and its place in ``order`` names the job; until the job ends,
+    a request with the same payload, or with none, is a replay of it, and any other one a conflict.
+    """
+    before = W.partitionBy(key).orderBy(*order)
+    term = F.sum(F.col(ends).cast("int")).over(before.rowsBetween(W.unboundedPreceding, -1))
+    rows = log.withColumn("_term", F.coalesce(term, F.lit(0))).where(~F.col(ends))
+    inside = W.partitionBy(key, "_term").orderBy(*order)
+    first = lambda c: F.first(c).over(inside)
+    other = F.col(payload).isNotNull() & first(payload).isNotNull() & (F.col(payload) != first(payload))
+    outcome = F.when(F.row_number().over(inside) == 1, "accepted").when(other, "conflict").otherwise("replay")
+    return rows.withColumn("outcome", outcome).withColumn("job", first(order[-1])).drop("_term")
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[tuple], tuple], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of ``fold`` over each key's rows in order, read as a stream: ``fold`` gets them one by one, and the key."""
+    names = df.columns
+    at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in b.itertuples(index=False, name=None))
+        ahead = next(rows, None)
+        columns = [f.strip().split(" ")[0] for f in schema.split(",")]
+        out: list[tuple] = []
+        while ahead is not None:
+            key = tuple(ahead[i] for i in at)
+
+            def own() -> Iterator[tuple]:
+                nonlocal ahead
+                while ahead is not None and tuple(ahead[i] for i in at) == key:  # noqa: B023
+                    now = ahead
+                    ahead = next(rows, None)
+                    yield now
+
+            for made in fold(own(), key):
+                out.append(made)
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+#: Fixed value: which events a state accepts, and where they lead. A job is claimed twice: for its first phase when queued, for its second when staged.
+MOVES = {("new", "enqueue"): "queued", ("queued", "claim"): "running", ("running", "stage"): "staged", ("staged", "claim"): "running", ("running", "finish"): "ok"}
+
+
+def advance(state: tuple[str, int, int], event: str, permanent: bool = False) -> tuple[str, int, int]:
+    """Status, phase and attempts after an event; one that the status does not accept changes nothing.
+
+    A failure puts the job back where it was claimed, up to ``ATTEMPTS`` times per phase; a permanent one
+    ends it. A release puts it back too, and gives the attempt back.
+    """
+    status, phase, attempts = state
+    back = "staged" if phase == 2 else "queued"
+    if status == "running" and event == "fail":
+        return ("failed", phase, attempts) if permanent or attempts >= ATTEMPTS else (back, phase, attempts)
+    if status == "running" and event == "release":
+        return back, phase, max(0, attempts - 1)
+    to = MOVES.get((status, event))
+    if to is None:
+        return state
+    return to, {"queued": 1, "staged": 2}.get(to, phase), {"claim": attempts + 1, "stage": 0}.get(event, attempts)
+
+
+def replay(events: DataFrame) -> DataFrame:
+    """``job, status, phase, attempts`` after all events of a log ``job, seq, event, permanent``."""
+
+    def fold(rows: Iterator[tuple], key: tuple) -> Iterator[tuple]:
+        state = ("new", 1, 0)
+        for _, _, event, permanent in rows:
+            state = advance(state, event, bool(permanent))
+        yield key[0], *state
+
+    kind = events.schema["job"].dataType.simpleString()
+    return in_order(events.select("job", "seq", "event", "permanent"), ["job"], ["seq"], fold, f"job {kind}, status string, phase int, attempts int")
+
+
+def rate_limit(calls: DataFrame, client: str, ts: str, key: str, limit: int = CALLS, seconds: int = SECONDS) -> DataFrame:
+    """``key, in_window, allowed`` of each call: allowed calls of the client in the last ``seconds``, and whether it passes.
+
+    Refused calls use nothing up. A pause of a whole window empties it, so the calls between two
+    pauses are folded apart from the others: a busy client is spread over tasks. Ties go by ``key``.
+    """
+    at, window = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    rows = calls.select(F.col(client).alias("_client"), at.alias("_at"), F.col(key).alias(key))
+    down = W.partitionBy("_client").orderBy("_at", key)
+    fresh = F.coalesce((F.col("_at") - F.lag("_at").over(down) >= window).cast("int"), F.lit(0))
+    rows = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(down)).select("_client", "_run", "_at", key)
+
+    def fold(events: Iterator[tuple], _: tuple) -> Iterator[tuple]:
+        recent: deque[int] = deque()
+        for _, _, now, name in events:
+            while recent and now - recent[0] >= window:
+                recent.popleft()
+            n = len(recent)
+            if n < limit:
+                recent.append(now)
+            yield name, n, n < limit
+
+    return in_order(rows, ["_client", "_run"], ["_at", key], fold, f"{key} {calls.schema[key].dataType.simpleString()}, in_window bigint, allowed boolean")
 
 
 def costs(traces: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Linking staged statements to ideas.
 
-Candidates come from one set-based search for all rows of a batch against the stored index. The
-decisions of one source then depend on each other (a row may join the idea that an earlier row of
-the same source opened), so they are folded in order, one group per source; sources are
-independent against the frozen snapshot. A source's group holds one batch of statements, which the
-per-document ceiling bounds.
+Candidates come from one set-based search for all rows of a batch against the stored index, lexical
+and by vector. The decisions of one source then depend on each other (a row may join the idea that an
+earlier row of the same source opened), so they are folded in order, one group per source. A source's
+group holds one batch of statements, which the per-document ceiling bounds.
+
+Sources depend on each other only through the ideas they open. After the fold, every opened idea is
+held against those that earlier sources opened: its nearest ones by words and by vector are its
+candidates, the arbiter chooses, and an idea that joins an earlier one takes its leaves along, over
+any number of steps. So one new thing in two sources is one idea, whichever task folded them.
 
 A failed decision never becomes a default: the row goes to ``pending`` with the error.
 """
@@ -12,14 +16,18 @@ A failed decision never becomes a default: the row goes to ``pending`` with the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.identity import text_hash
+from evidentia.operators import search
 from evidentia.operators.models import Arbiter
 from evidentia.operators.rank import first_per_idea
+from evidentia.scratch import materialise
 
 WINDOW, CANDIDATES, RRF_K = 30, 10, 60
 
@@ -46,26 +54,37 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
     """Decisions (``DECISION``) on ``rows``: ``source_id, line, text, hash, vec, candidates``.
 
     ``decision`` is duplicate, linked, new or pending. Texts of candidate ideas are joined in
-    before the fold, so that the fold reads no table.
+    before the fold, so that the fold reads no table. A row whose hash is not its text's waits.
     """
+    rows = rows.withColumn("own_hash", text_hash(F.col("text")))
     known = stored_hashes.select("source_id", "hash").distinct().withColumn("stored", F.lit(True))
     each = rows.select("source_id", "line", F.inline_outer("candidates")).join(ideas.select("idea_id", F.col("text").alias("idea_text")), "idea_id", "left")
     named = each.where(F.col("idea_id").isNotNull()).groupBy("source_id", "line").agg(F.sort_array(F.collect_list(F.struct("place", "idea_id", "idea_text"))).alias("named"))
     full = rows.drop("candidates").join(named, ["source_id", "line"], "left").join(known, ["source_id", "hash"], "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, overlay, texts, out = set(), [], {}, []
+        seen, texts, out = set(), {}, []
+        # Vectors and ideas of the rows placed so far.
+        opened: list[str] = []
+        dim = max((len(v) for v in pdf.vec if v is not None), default=0)
+        held, n = np.zeros((len(pdf), dim)), 0
         for r in pdf.sort_values("line").itertuples():
             if r.stored is True or r.hash in seen:
                 out.append((r.source_id, r.line, None, None, "duplicate", None))
                 continue
             try:
+                if r.hash != r.own_hash:
+                    raise ValueError("the staged hash is not that of the text")
                 stored = [(c["idea_id"], c["idea_text"]) for c in (r.named if r.named is not None else [])]
                 gone = [i for i, t in stored if t is None]
                 if gone:
                     raise LookupError(f"candidate {gone[0]} is not stored")
-                near = sorted(overlay, key=lambda o: -float(np.dot(o[0], r.vec)))[:WINDOW] if r.vec is not None else []
-                arms = [[i for i, _ in stored], _priced([i for _, i in near])]
+                near = []
+                if r.vec is not None and n:
+                    close = held[:n] @ r.vec
+                    best = np.argpartition(-close, WINDOW - 1)[:WINDOW] if n > WINDOW else np.arange(n)
+                    near = [opened[i] for i in best[np.lexsort((best, -close[best]))]]
+                arms = [[i for i, _ in stored], _priced(near)]
                 score: dict[str, float] = {}
                 for arm in arms:
                     for place, idea in enumerate(arm, 1):
@@ -84,8 +103,50 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
                 texts[idea] = r.text
             seen.add(r.hash)
             if r.vec is not None:
-                overlay.append((r.vec, idea))
+                held[n] = r.vec
+                opened.append(idea)
+                n += 1
             out.append((r.source_id, r.line, f"th_{mark}", idea, "linked" if choice >= 0 else "new", None))
         return pd.DataFrame(out, columns=["source_id", "line", "thesis_id", "idea_id", "decision", "error"])
 
     return full.groupBy("source_id").applyInPandas(fold, DECISION)
+
+
+def join_across(decided: DataFrame, rows: DataFrame, order: DataFrame, arbiter: Arbiter) -> DataFrame:
+    """``decided`` (``DECISION``) with the ideas that earlier sources opened as well put together.
+
+    ``order``: ``source_id, turn``, when a source's turn comes. A decision changed from new to linked
+    names the earlier idea; leaves linked to an idea that joined another follow it.
+    """
+    new = decided.where("decision = 'new'").join(rows.select("source_id", "line", "text", "vec"), ["source_id", "line"]).join(order, "source_id")
+    new = materialise(new.select("idea_id", "source_id", "turn", "line", "text", "vec"), "opened")
+    asked = new.select(F.col("idea_id").alias("query_id"), F.col("text").alias("query"), F.col("vec").alias("qvec"))
+    hits = search.hybrid(new, new, asked, "idea_id", "text", "vec", WINDOW)
+    mine, theirs = new.select(F.col("idea_id").alias("query_id"), F.col("text").alias("own"), F.col("turn").alias("my_turn")), new.select("idea_id", "turn", F.col("text").alias("idea_text"))
+    earlier = hits.select("query_id", "idea_id", "rank").join(mine, "query_id").join(theirs, "idea_id").where(F.col("turn") < F.col("my_turn"))
+    listed = earlier.groupBy("query_id", "own").agg(F.sort_array(F.collect_list(F.struct("rank", "idea_id", "idea_text"))).alias("c"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                some = list(r.c)[:CANDIDATES]
+                try:
+                    n = arbiter.choose(r.own, [{"idea_id": c["idea_id"], "text": c["idea_text"]} for c in some])
+                except Exception:  # noqa: BLE001 - without an answer the idea stays its own
+                    n = -1
+                if isinstance(n, int) and not isinstance(n, bool) and 0 <= n < len(some):
+                    out.append((r.query_id, some[n]["idea_id"]))
+            yield pd.DataFrame(out, columns=["idea_id", "into"])
+
+    joins = materialise(listed.mapInPandas(choose, "idea_id string, into string"), "joined-ideas")
+    # Every step of a chain leads to an earlier turn; each round doubles the steps that are followed.
+    while True:
+        on = joins.select(F.col("idea_id").alias("into"), F.col("into").alias("further"))
+        longer = materialise(joins.join(on, "into", "left").select("idea_id", F.coalesce("further", "into").alias("into"), F.col("further").isNotNull().alias("moved")), "joined-ideas")
+        if not longer.where("moved").take(1):
+            break
+        joins = longer.drop("moved")
+    out = decided.join(joins, "idea_id", "left")
+    decision = F.when(F.col("into").isNotNull() & (F.col("decision") == "new"), "linked").otherwise(F.col("decision"))
+    return out.select("source_id", "line", "thesis_id", F.coalesce("into", "idea_id").alias("idea_id"), decision.alias("decision"), "error")

@@ -33,6 +33,18 @@ class Judge(Protocol):
         """Whole number from 0 to 10."""
 
 
+class Extractor(Protocol):
+    def extract(self, section: str, prompt: str) -> Sequence[str]:
+        """Drafts of a section."""
+
+
+class SentenceExtractor:
+    """The sentences of a section that hold a number."""
+
+    def extract(self, section: str, prompt: str) -> list[str]:
+        return [s.strip() for s in section.replace("!", ".").split(". ") if any(c.isdigit() for c in s)]
+
+
 class HashingEncoder:
     """Unit vectors of signed word hashes."""
 

@@ -87,3 +87,11 @@ def agreement(rows: DataFrame, group: str, key: str, vec: str, label: str) -> Da
     large = _in_blocks(rows, group, key, run, "cosine double, pos long, neg long")
     every = small.select("cosine", F.col("same").alias("pos"), (1 - F.col("same")).alias("neg")).unionByName(large)
     return every.groupBy("cosine").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def threshold_sweep(counted: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``threshold, balanced``: of pairs counted by similarity (``agreement``), the mean of both classes' shares on their side."""
+    rows = counted.select("cosine", "pos", "neg", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    over = F.col("cosine") >= F.col("threshold")
+    share = lambda label, side: F.coalesce(F.sum(F.when(side, F.col(label)).otherwise(0)) / F.nullif(F.sum(label), F.lit(0)), F.lit(0.0))
+    return rows.groupBy("threshold").agg(F.round((share("pos", over) + share("neg", ~over)) / 2, 6).alias("balanced"))

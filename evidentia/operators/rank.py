@@ -64,7 +64,9 @@ def retrieve(lifted: DataFrame, ideas: DataFrame, edges: DataFrame, k: int = 5)
     marked = scored.withColumn("free", F.lit(k) - F.sum(taken.cast("int")).over(per_query)).withColumn("taken", taken)
     room = marked.select("query_id", "free").distinct()
     ordered = W.partitionBy("query_id").orderBy("first_at")
-    edge = edge_targets(scored, edges).join(ideas.select("idea_id", F.coalesce("trust", F.lit(0.0)).alias("trust")), "idea_id")
+    # Most queries have no free place: only for the others are the edges looked at.
+    short = marked.where(F.col("free") > 0).select("query_id", "idea_id", "position")
+    edge = edge_targets(short, edges).join(ideas.select("idea_id", F.coalesce("trust", F.lit(0.0)).alias("trust")), "idea_id")
     edge = edge.withColumn("n", F.row_number().over(ordered)).join(room, "query_id").where(F.col("n") <= F.col("free"))
     used = edge.groupBy("query_id").agg(F.count("*").alias("edges"))
     rest = marked.join(used, "query_id", "left").withColumn("pads", F.col("free") - F.coalesce("edges", F.lit(0)))
@@ -82,3 +84,20 @@ def first_per_idea(hits: DataFrame) -> DataFrame:
     per = hits.groupBy("query_id", "idea_id").agg(F.min("pos").alias("best"), F.count("*").alias("hits"), F.min_by("thesis_id", "pos").alias("thesis_id"))
     per = per.withColumn("price", F.col("best") * F.col("hits"))
     return per.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("price", "best")))
+
+
+def divergence(hits: DataFrame, ideas: DataFrame) -> DataFrame:
+    """``query_id, idea_id``: ideas that the index names and the store does not know, the mark of an index out of step."""
+    return hits.where(F.col("idea_id").isNotNull()).select("query_id", "idea_id").distinct().join(ideas.select("idea_id"), "idea_id", "left_anti")
+
+
+def request_log(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """``query_id, query, status, ideas, best``: one line per request, those without an answer included."""
+    found = answers.where(F.col("via") != "cut_off").groupBy("query_id").agg(F.count("*").alias("ideas"), F.max("score").alias("best"))
+    rows = queries.select("query_id", "query").join(found, "query_id", "left")
+    return rows.select("query_id", "query", F.when(F.col("ideas").isNull(), "empty").otherwise("ok").alias("status"), F.coalesce("ideas", F.lit(0)).alias("ideas"), "best")
+
+
+def logged_responses(responses: DataFrame, log: DataFrame) -> DataFrame:
+    """Responses with the log line that they name; a response without its line is left out."""
+    return responses.join(log, "log_id")

@@ -43,3 +43,15 @@ def discover(responses: DataFrame) -> DataFrame:
     rows = rows.where(is_public(F.col("url"))).withColumn("c", canonical(F.col("url")))
     best = W.partitionBy("c").orderBy(F.desc("score"), "url")
     return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select(web_id(F.col("url")).alias("id"), "url", "title", "score")
+
+
+def refusals(outcomes: DataFrame, kind: str = "kind") -> DataFrame:
+    """``kind, n``: how often each class of refusal happened, one line per class."""
+    return outcomes.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def extracted(wanted: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``id, url, content`` of discovered addresses with a recorded answer that is not blank; the same place under two spellings once."""
+    pages = recorded.withColumn("c", canonical(F.col("url"))).where(F.trim("content") != "").groupBy("c").agg(F.min_by("content", "url").alias("content"))
+    rows = wanted.withColumn("c", canonical(F.col("url"))).dropDuplicates(["c"])
+    return rows.join(pages, "c").select(web_id(F.col("url")).alias("id"), "url", "content")

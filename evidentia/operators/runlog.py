@@ -24,8 +24,10 @@ def parent_best(mutants: DataFrame) -> DataFrame:
 
 
 def with_delta(mutants: DataFrame) -> DataFrame:
-    """``mutants`` with ``parent_fitness`` and ``delta``."""
+    """``mutants`` with ``parent_fitness`` and ``delta``; a parent fitness that the log gives (``given_parent_fitness``) counts before the one that is looked up."""
     out = mutants.join(parent_best(mutants), "program_id", "left")
+    if "given_parent_fitness" in mutants.columns:
+        out = out.withColumn("parent_fitness", F.coalesce(measured(F.col("given_parent_fitness")), "parent_fitness"))
     return out.withColumn("delta", F.round(measured(F.col("fitness")) - F.col("parent_fitness"), 6))
 
 
@@ -38,10 +40,23 @@ def gate(rows: DataFrame, min_delta: float = 0.0, parsed: Column | None = None,
     return rows.withColumn("reason", reason)
 
 
-def parse_output(raw: Column) -> Column:
-    """The structured output of a mutation; null where it is not an object with archetype and changes."""
-    has = lambda k: F.get_json_object(raw, f"$.{k}").isNotNull()
-    return F.when(has("archetype") & has("changes"), F.from_json(raw, OUTPUT))
+def parse_output(raw: Column, parsed: Column | None = None) -> Column:
+    """The structured output of a mutation; null where it is not an object with archetype and changes.
+
+    Where an output that is parsed already (as JSON text of an object) is given, it counts and the raw text does not.
+    """
+    given = raw if parsed is None else F.coalesce(parsed, raw)
+    has = lambda k: F.get_json_object(given, f"$.{k}").isNotNull()
+    return F.when(has("archetype") & has("changes"), F.from_json(given, OUTPUT))
+
+
+#: Fixed value: names of runs, which become file names.
+RUN_ID = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$"
+
+
+def valid_run_id(run: Column) -> Column:
+    """Whether a run's name is safe as a file name, inside the folder of the runs."""
+    return F.coalesce(run.rlike(RUN_ID) & ~run.contains("\n"), F.lit(False))
 
 
 def run_name(path: Column) -> Column:

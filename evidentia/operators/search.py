@@ -8,7 +8,7 @@ and keep the best k of each batch, so that what is shuffled depends on k and not
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -54,17 +54,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 50)
     if len(some) > QUERY_BATCH or len(some) * len(vocabulary) > QUERY_CELLS:
         return _bm25_by_join(docs, asked, key, text, k)
     scan = docs.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("t"))
-    stats = scan.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("len")).first()
-    words = docs.sparkSession.createDataFrame([(t, i) for t, i in vocabulary.items()], "term string, i int")
-    found = scan.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(words), "term").groupBy("i").agg(F.count("*").alias("df"))
-    df = {r.i: r.df for r in found.collect()}  # one row per term of the queries
-    idf = np.array([max(math.log((stats.n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) if i in df else 0.0 for i in range(len(vocabulary))])
+    # One pass counts the texts with each term of the queries and, under the empty term, all texts and their lengths.
+    words = docs.sparkSession.createDataFrame([("", -1), *vocabulary.items()], "term string, i int")
+    each = scan.select(F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    found = each.join(F.broadcast(words), "term").groupBy("i").agg(F.count("*").alias("df"), F.sum("len").alias("len"))
+    rows_of = {r.i: r for r in found.collect()}  # one row per term of the queries
+    n, df = (rows_of[-1].df if -1 in rows_of else 0), {i: r.df for i, r in rows_of.items()}
+    idf = np.array([max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) if i in df else 0.0 for i in range(len(vocabulary))])
     weights = np.zeros((len(vocabulary), len(some)))
     for q, ts in enumerate(some.t):
         for t in ts:
             weights[vocabulary[t], q] = 1.0
     weights *= idf[:, None]
-    names, mean = some.query_id.to_numpy(), stats["len"] or 1.0
+    names, mean = some.query_id.to_numpy(), (rows_of[-1].len / n if n and rows_of[-1].len else 1.0)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, bm25 double"
     shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
     rows = max(16, SCORE_CELLS // max(1, len(some)))
@@ -74,12 +76,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 50)
         for whole in batches:
             for lo in range(0, len(whole), rows):
                 b = whole.iloc[lo : lo + rows]
+                # The texts' terms that occur in queries, as one sparse matrix: text, term, weight.
+                at = [[vocabulary[t] for t in ts if t in vocabulary] for ts in b.t]
+                length = np.array([len(ts) for ts in b.t], float)
+                doc = np.repeat(np.arange(len(b)), np.array([len(x) for x in at], np.int64))
+                cell, tf = np.unique(doc * len(vocabulary) + np.fromiter((i for x in at for i in x), np.int64, len(doc)), return_counts=True)
+                doc, term = cell // len(vocabulary), cell % len(vocabulary)
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
                 scores = np.zeros((len(b), weights.shape[1]))
-                for d, ts in enumerate(b.t):
-                    tf = Counter(vocabulary[t] for t in ts if t in vocabulary)
-                    if tf:
-                        n = np.fromiter(tf.values(), float, len(tf))
-                        scores[d] = (n * (K1 + 1) / (n + K1 * (1 - B + B * len(ts) / mean))) @ weights[list(tf)]
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                for d, lo, hi in zip(doc[first], first, np.append(first[1:], len(doc)), strict=True):
+                    scores[d] = value[lo:hi] @ weights[term[lo:hi]]
                 yield _best(scores.T.round(6), names, b[key].to_numpy(), k, key, "bm25", 0.0)
 
     best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
@@ -112,47 +119,74 @@ def _bm25_by_join(docs: DataFrame, asked: DataFrame, key: str, text: str, k: int
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
-    """``query_id, key, cosine`` of every (query, vector) of equal length; unit vectors assumed."""
-    q = F.broadcast(queries.select("query_id", "qvec"))
+    """``query_id, key, cosine`` of every (query, vector) of equal length; unit vectors assumed.
+
+    Up to ``QUERY_BATCH`` queries are sent to the vectors; more are joined with them by length.
+    """
+    asked = queries.select("query_id", "qvec")
+    q = F.broadcast(asked) if asked.limit(QUERY_BATCH + 1).count() <= QUERY_BATCH else asked
     near = F.round(dot(F.col(vec), F.col("qvec")), 6)
     return vectors.where(F.col(vec).isNotNull()).select(key, vec).join(q, F.size(vec) == F.size("qvec")).select("query_id", key, near.alias("cosine"))
 
 
+def cosine_counts(vectors: DataFrame, queries: DataFrame, vec: str) -> DataFrame:
+    """``query_id, cosine, n``: vectors at each similarity (six decimals, at most two million steps) of each query; counted in the scan."""
+
+    def count(scores: np.ndarray, names: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+        steps = np.rint(scores * 1e6).astype(np.int64) + (np.arange(len(scores)) << 32)[:, None]
+        found, n = np.unique(steps + (1 << 31), return_counts=True)
+        return pd.DataFrame({"query_id": names[found >> 32], "cosine": ((found & 0xFFFFFFFF) - (1 << 31)) / 1e6, "n": n})
+
+    parts = [_scanned(vectors, queries, asked, None, vec, count, "cosine double, n long") for asked in _blocks(queries)]
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "cosine").agg(F.sum("n").alias("n"))
+
+
+def _blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """The queries with a vector, at most ``QUERY_BATCH`` at a time; one empty block if there are none."""
+    every = queries.select("query_id", "qvec").where(F.col("qvec").isNotNull())
+    asked = every.limit(QUERY_BATCH + 1).toPandas()
+    if len(asked) <= QUERY_BATCH:
+        yield asked
+        return
+    rest = every.toLocalIterator()
+    while block := list(islice(rest, QUERY_BATCH)):
+        yield pd.DataFrame(block, columns=["query_id", "qvec"])
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 50) -> DataFrame:
     """``query_id, key, cosine, vec_rank``. At most ``QUERY_BATCH`` queries are sent to the scan, where one matrix
     product per Arrow batch scores them; each batch passes on its best ``k`` per query (all of those that tie at the
     last place), the merge ranks them with ties by key. More queries than that are asked block by block, each block's
     hits being written before the next is read, so that the driver holds one block. Query ids are distinct.
     """
-    every = queries.select("query_id", "qvec").where(F.col("qvec").isNotNull())
-    asked = every.limit(QUERY_BATCH + 1).toPandas()
-    if len(asked) <= QUERY_BATCH:
-        return _nearest(vectors, queries, asked, key, vec, k)
-    found, rest = [], every.toLocalIterator()
-    while block := list(islice(rest, QUERY_BATCH)):
-        found.append(materialise(_nearest(vectors, queries, pd.DataFrame(block, columns=["query_id", "qvec"]), key, vec, k), "nearest"))
+    best = W.partitionBy("query_id").orderBy(F.desc("cosine"), key)
+    found = []
+    for asked in _blocks(queries):
+        top = _scanned(vectors, queries, asked, key, vec, lambda s, names, ids: _best(s, names, ids, k, key, "cosine"), f"{key} {vectors.schema[key].dataType.simpleString()}, cosine double")
+        top = top.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= k)
+        # Of several blocks each is settled before the next is read.
+        found.append(top if len(asked) < QUERY_BATCH and not found else materialise(top, "nearest"))
     return reduce(DataFrame.unionByName, found)
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, asked: pd.DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    rows = vectors.where(F.col(vec).isNotNull()).select(key, vec)
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, cosine double"
-    if asked.empty:
-        return rows.select(F.lit(None).alias("query_id"), key, F.lit(0.0).alias("cosine"), F.lit(1).alias("vec_rank")).where("false")
+def _scanned(vectors: DataFrame, queries: DataFrame, asked: pd.DataFrame, key: str | None, vec: str, use: Callable, more: str) -> DataFrame:
+    """``query_id`` and ``more`` columns: ``use(scores, query ids, keys)`` of every Arrow batch of vectors, scores being (query, vector)."""
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(key) if key else F.lit(0).alias("_key"), vec)
     names = asked.query_id.to_numpy()
-    q = np.stack(asked.qvec.to_numpy()).astype(np.float64)
+    q = np.stack(asked.qvec.to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 0))
+    shipped = vectors.sparkSession.sparkContext.broadcast((names, q))
 
     def scan(batches):
-        for b in batches:
-            b = b[b[vec].map(len) == q.shape[1]]
-            if not len(b):
-                continue
-            ids = b[key].to_numpy()
-            scores = (q @ np.stack(b[vec].to_numpy()).astype(np.float64).T).round(6)
-            yield _best(scores, names, ids, k, key, "cosine")
+        names, q = shipped.value
+        step = max(16, SCORE_CELLS // max(1, len(q)))
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                b = whole.iloc[lo : lo + step]
+                b = b[b[vec].map(len) == q.shape[1]]
+                if len(b) and len(q):
+                    yield use((q @ np.stack(b[vec].to_numpy()).astype(np.float64).T).round(6), names, b.iloc[:, 0].to_numpy())
 
-    best = W.partitionBy("query_id").orderBy(F.desc("cosine"), key)
-    return rows.mapInPandas(scan, kinds).withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= k)
+    return rows.mapInPandas(scan, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {more}")
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, key: str, k: int = 50) -> DataFrame:

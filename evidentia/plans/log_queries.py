@@ -93,7 +93,7 @@ _STATUS = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running'
 
 
 @query(f"SELECT user_id AS job, {_STATUS} AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-def job_fsm(spark: SparkSession, d: str) -> DataFrame:
+def job_last_event(spark: SparkSession, d: str) -> DataFrame:
     return jobs.last_event(_jobs(spark, d), "user_id", "ts", "event_id").select(F.col("user_id").alias("job"), "status", "event_id")
 
 
@@ -114,12 +114,6 @@ def enqueue_dedup(spark: SparkSession, d: str) -> DataFrame:
     return jobs.enqueue(rows, "key", "props", "ts", "event_id")
 
 
-@query("SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 2 AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)")
-def rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.rate_limit(rows, "event_type", "ts", 2, 300).select("event_id", "in_window", "allowed")
-
-
 @query("SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS total, CAST(sum(CAST(event_type = 'error' AS INT)) AS BIGINT) AS failures FROM events GROUP BY 1, 2")
 def trace_cost(spark: SparkSession, d: str) -> DataFrame:
     return jobs.costs(_events(spark, d).withColumn("failed", F.col("event_type") == "error"), ["user_id", "event_type"], "value")

@@ -61,5 +61,5 @@ edge AS (SELECT idea_a AS source_id, idea_b AS target_id, weight FROM cocited UN
 
 def sql(body: str) -> str:
     """``body`` with the model's tables before it."""
-    head = "WITH" + WITH
+    head = "WITH RECURSIVE" + WITH
     return head + ("," + body.strip()[4:] if body.strip().upper().startswith("WITH") else body)

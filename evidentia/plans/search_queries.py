@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.functions.vectors import problem
+from evidentia.functions.words import SPACE
 from evidentia.operators import graph, pairs, rank, search
 from evidentia.plans import model
 from evidentia.plans.model import sql
@@ -57,7 +59,8 @@ def query(oracle: str | None = None):
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return model.unit_vectors(spark, d).where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("text").alias("query"), F.col("vec").alias("qvec"))
+    asked = model.index(spark, d).where("row_id % 50 = 0").where(problem(F.col("vec"), 384).isNull())
+    return asked.select(F.col("row_id").alias("query_id"), F.col("text").alias("query"), F.col("vec").alias("qvec"))
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +98,9 @@ def cosine_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT query_id, round(quantile_cont(cosine, 0.5), 4) AS median, round(quantile_cont(cosine, 0.9), 4) AS p90, round(quantile_cont(cosine, 0.99), 4) AS p99, round(max(cosine), 4) AS max FROM cos GROUP BY 1""")
 def cosine_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    every = search.cosine(model.unit_vectors(spark, d), _queries(spark, d), "row_id", "vec")
-    q = F.percentile("cosine", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    row = every.groupBy("query_id").agg(q.alias("q"), F.max("cosine").alias("top"))
+    counts = search.cosine_counts(model.unit_vectors(spark, d), _queries(spark, d), "vec")
+    q = F.percentile("cosine", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
+    row = counts.groupBy("query_id").agg(q.alias("q"), F.max("cosine").alias("top"))
     return row.select("query_id", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("median", "p90", "p99"))), F.round("top", 4).alias("max"))
 
 
@@ -145,6 +148,38 @@ def retrieve_rank(spark: SparkSession, d: str) -> DataFrame:
     return _answer(spark, d)
 
 
+@query("""SELECT query_id, idea_id, score, raw_score, trust, via, row_number() OVER (ORDER BY CASE via WHEN 'thesis' THEN 1 WHEN 'edge' THEN 2 WHEN 'padding' THEN 3 ELSE 4 END, position) AS rank FROM answer WHERE query_id = (SELECT min(query_id) FROM q)""")
+def retrieve_one(spark: SparkSession, d: str) -> DataFrame:
+    """One question, the first: what a single call costs."""
+    asked = _queries(spark, d).orderBy("query_id").limit(1)
+    lexical = search.bm25(model.index(spark, d), asked, "row_id", "text")
+    hits = search.rrf(lexical, search.cosine_topk(model.unit_vectors(spark, d), asked, "row_id", "vec"), "row_id")
+    lifted = materialise(rank.lift_max(hits.join(model.index(spark, d).select("row_id", "idea_id"), "row_id")), "lifted")
+    edges = graph.both_directions(graph.cocitation(model.leaves(spark, d, "id", "source_id", "idea_id")))
+    return rank.retrieve(lifted, model.scored_ideas(spark, d), edges, 5)
+
+
+@query("SELECT query_id, query, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(n, 0) AS ideas, best FROM q LEFT JOIN (SELECT query_id, count(*) AS n, max(score) AS best FROM answer WHERE via <> 'cut_off' GROUP BY 1) USING (query_id)")
+def request_log(spark: SparkSession, d: str) -> DataFrame:
+    return rank.request_log(_queries(spark, d), _answer(spark, d))
+
+
+@query("SELECT DISTINCT query_id, idea_id FROM hits JOIN idx_thesis USING (row_id) WHERE idea_id IS NOT NULL AND idea_id NOT IN (SELECT id FROM idea)")
+def index_divergence(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hits(spark, d).join(model.index(spark, d).select("row_id", "idea_id"), "row_id")
+    return rank.divergence(hits, model.ideas(spark, d).select(F.col("id").alias("idea_id")))
+
+
+@query(""", p AS (SELECT round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS cosine, x.source_id = y.source_id AS same FROM unit a JOIN unit b ON a.idea_id = b.idea_id AND a.row_id < b.row_id
+ JOIN (SELECT row_id, min(source_id) AS source_id FROM idx_thesis i JOIN (SELECT DISTINCT id, source_id FROM leaf) l ON l.id = i.thesis_id GROUP BY 1) x ON x.row_id = a.row_id
+ JOIN (SELECT row_id, min(source_id) AS source_id FROM idx_thesis i JOIN (SELECT DISTINCT id, source_id FROM leaf) l ON l.id = i.thesis_id GROUP BY 1) y ON y.row_id = b.row_id WHERE x.source_id IS NOT NULL AND y.source_id IS NOT NULL),
+t AS (SELECT unnest(range(0, 20)) / 20.0::DOUBLE AS threshold)
+SELECT threshold, round((coalesce(avg(CASE WHEN same THEN CAST(cosine >= threshold AS INT) END), 0) + coalesce(avg(CASE WHEN NOT same THEN CAST(cosine < threshold AS INT) END), 0)) / 2, 6) AS balanced FROM p, t GROUP BY 1""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced accuracy of "one source" by similarity, at each threshold."""
+    return pairs.threshold_sweep(_labelled_pairs(spark, d), [i / 20 for i in range(20)])
+
+
 @query("SELECT query_id, idea_id, n FROM (SELECT query_id, idea_id, n FROM topup) WHERE n <= 5")
 def retrieve_edge_topup(spark: SparkSession, d: str) -> DataFrame:
     lifted = materialise(_lifted(spark, d), "lifted")
@@ -171,25 +206,28 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = """SELECT a.idea_id, a.row_id AS a, b.row_id AS b, round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS cosine
- FROM u a JOIN u b ON a.idea_id = b.idea_id AND a.row_id < b.row_id"""
-_SMALL = """WITH n AS (SELECT idea_id FROM unit WHERE idea_id IS NOT NULL GROUP BY 1 HAVING count(*) <= 64), u AS (SELECT * FROM unit JOIN n USING (idea_id)) """
+ FROM unit a JOIN unit b ON a.idea_id = b.idea_id AND a.row_id < b.row_id"""
 
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Every two leaves of one idea. The SQL below leaves out ideas over 64 leaves; here none is left out."""
+    """Every two leaves of one idea."""
     return pairs.within(model.unit_vectors(spark, d), "idea_id", "row_id", "vec")
 
 
 QUERIES["pair_similarity"] = pair_similarity
-ORACLE["pair_similarity"] = sql(_SMALL + _PAIRS)
+ORACLE["pair_similarity"] = sql(_PAIRS)
 
 
-def auc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """How well similarity tells leaves of one source from others, within ideas: area under the curve, ties counting half."""
+def _labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within ideas, of one source and of two, by similarity: at most two million steps at six decimals."""
     src = model.index(spark, d).select("row_id", "thesis_id").join(model.leaves(spark, d, "id", "source_id").withColumnRenamed("id", "thesis_id"), "thesis_id").groupBy("row_id").agg(F.min("source_id").alias("s"))
     rows = model.unit_vectors(spark, d).select("idea_id", "row_id", "vec").join(src.where("s is not null"), "row_id")
-    # Ranks come from the counts of distinct similarities, at most two million at six decimals.
-    by = pairs.agreement(rows, "idea_id", "row_id", "vec", "s")
+    return pairs.agreement(rows, "idea_id", "row_id", "vec", "s")
+
+
+def auc_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How well similarity tells leaves of one source from others, within ideas: area under the curve, ties counting half."""
+    by = _labelled_pairs(spark, d)
     below = F.coalesce(F.sum("neg").over(W.orderBy("cosine").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     area = by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("wins").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return area.select("pos", "neg", F.round(F.col("w") / (F.col("pos").cast("double") * F.col("neg")), 6).alias("auc"))
@@ -197,8 +235,7 @@ def auc_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["auc_pairs"] = auc_pairs
 ORACLE["auc_pairs"] = sql(
-    _SMALL
-    + f""", p AS ({_PAIRS}),
+    f"""WITH p AS ({_PAIRS}),
 s AS (SELECT row_id, min(source_id) AS s FROM idx_thesis x JOIN (SELECT DISTINCT id, source_id FROM leaf) l ON l.id = x.thesis_id GROUP BY 1),
 r AS (SELECT cosine, x.s = y.s AS same FROM p JOIN s x ON x.row_id = p.a JOIN s y ON y.row_id = p.b WHERE x.s IS NOT NULL AND y.s IS NOT NULL),
 g AS (SELECT cosine, sum(CAST(same AS INT)) AS pos, sum(CAST(NOT same AS INT)) AS neg FROM r GROUP BY 1),
@@ -220,26 +257,41 @@ QUERIES["dial_points"] = dial_points
 
 
 def link_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions on the arriving lines against the stored index; vectors are those of a hashing encoder."""
+    """Decisions on the arriving lines; vectors of lines and index are those of a hashing encoder."""
     from evidentia.functions.identity import text_hash
-    from evidentia.operators.link import link_batch as run
+    from evidentia.operators import link
     from evidentia.operators.models import HashingEncoder, OverlapArbiter, encoded
     from evidentia.plans.tables import table
 
     lines = table(spark, d, "thesis_batches").where("text <> '' and source_id is not null")
-    rows = lines.select("source_id", (F.col("batch_no").cast("long") * 1_000_000_000 + F.col("line_no")).alias("line"), "text", text_hash(F.col("text")).alias("hash"), encoded(F.col("text"), HashingEncoder(64)).alias("vec"))
-    rows = materialise(rows, "staged")
-    asked = rows.select(F.concat_ws(":", "source_id", F.col("line").cast("string")).alias("query_id"), F.col("text").alias("query"), "source_id", "line")
-    hits = search.bm25(model.index(spark, d).where("idea_id is not null"), asked, "row_id", "text", 30).join(model.index(spark, d).select("row_id", "idea_id", "thesis_id"), "row_id")
-    from evidentia.operators.link import stored_candidates
-
-    found = stored_candidates(hits.select("query_id", "idea_id", "thesis_id", F.col("bm25_rank").alias("pos")))
+    turn = F.col("batch_no").cast("long") * 1_000_000_000 + F.col("line_no")
+    encoder = HashingEncoder(64)
+    rows = materialise(lines.select("source_id", turn.alias("line"), "text", text_hash(F.col("text")).alias("hash"), encoded(F.col("text"), encoder).alias("vec")), "staged")
+    asked = rows.select(F.concat_ws(":", "source_id", F.col("line").cast("string")).alias("query_id"), F.col("text").alias("query"), F.col("vec").alias("qvec"), "source_id", "line")
+    index = model.index(spark, d).where("idea_id is not null").select("row_id", "thesis_id", "idea_id", "text")
+    index = materialise(index.withColumn("vec", F.when(F.col("text").isNotNull(), encoded(F.col("text"), encoder))), "encoded")
+    hits = search.hybrid(index, index, asked, "row_id", "text", "vec", 30).join(index.select("row_id", "idea_id", "thesis_id"), "row_id")
+    found = link.stored_candidates(hits.select("query_id", "idea_id", "thesis_id", F.col("rank").alias("pos")))
     full = rows.join(found.join(asked.select("query_id", "source_id", "line"), "query_id").drop("query_id"), ["source_id", "line"], "left")
     stored = model.leaves(spark, d, "source_id", "text").select("source_id", text_hash(F.col("text")).alias("hash"))
     ideas = model.ideas(spark, d).select(F.col("id").alias("idea_id"), "text")
-    return run(full, ideas, stored, OverlapArbiter(0.3))
+    arbiter = OverlapArbiter(0.3)
+    decided = materialise(link.link_batch(full, ideas, stored, arbiter), "decided")
+    order = rows.groupBy("source_id").agg(F.min("line").alias("turn"))
+    return link.join_across(decided, rows, order, arbiter)
+
+
+def link_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The arriving lines that repeat a stored or earlier text of their source."""
+    return link_batch(spark, d).where("decision = 'duplicate'").select("source_id", "line")
 
 
+_HASH = f"md5(lower(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))))"
+QUERIES["link_duplicates"] = link_duplicates
+# A line that waits for a decision (its candidate is not stored) leaves its text open: the next one with it is no duplicate.
+ORACLE["link_duplicates"] = sql(f"""WITH b AS (SELECT source_id, CAST(batch_no AS BIGINT) * 1000000000 + line_no AS line, {_HASH} AS hash FROM thesis_batches WHERE text <> '' AND source_id IS NOT NULL),
+ s AS (SELECT DISTINCT source_id, {_HASH} AS hash FROM thesis_out WHERE text IS NOT NULL AND source_id IS NOT NULL)
+SELECT source_id, line FROM b WHERE EXISTS (SELECT 1 FROM s WHERE s.source_id = b.source_id AND s.hash = b.hash) OR EXISTS (SELECT 1 FROM b c WHERE c.source_id = b.source_id AND c.hash = b.hash AND c.line < b.line)""")
 QUERIES["link_batch"] = link_batch
 
 

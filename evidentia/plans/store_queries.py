@@ -56,9 +56,9 @@ def store_counts(spark: SparkSession, d: str) -> DataFrame:
     return audit.counts(sources=s, ideas=i, theses=graph.leaf_traversal(s, l, i), edges=graph.both_directions(graph.cocitation(l)))
 
 
-@query("SELECT DISTINCT id FROM idea WHERE id NOT IN (SELECT idea_id FROM leaf WHERE idea_id IS NOT NULL)")
+@query("SELECT DISTINCT id FROM idea WHERE id NOT IN (SELECT l.idea_id FROM leaf l JOIN src s ON s.id = l.source_id WHERE l.idea_id IS NOT NULL)")
 def orphan_ideas(spark: SparkSession, d: str) -> DataFrame:
-    return audit.ideas_without_leaves(model.ideas(spark, d), model.leaves(spark, d))
+    return audit.ideas_without_leaves(model.ideas(spark, d), model.leaves(spark, d), model.sources(spark, d))
 
 
 @query("SELECT DISTINCT id FROM leaf ANTI JOIN idx_thesis x ON x.thesis_id = leaf.id")

@@ -78,14 +78,14 @@ def md_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.sections(_docs(spark, d), "doc_id", "text")
 
 
-@query(r"""SELECT url, nullif(lower(regexp_extract(trim(url), '(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$', 1)), '') AS article_id,
- CASE WHEN coalesce(trim(url), '') = '' THEN 'empty' WHEN regexp_matches(trim(url), '(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$') THEN NULL
- WHEN regexp_matches(trim(url), '(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|html)/[a-z-]+(?:\.[a-z]{2})?/\d{7}') THEN 'old_style' ELSE 'not_article' END AS refusal
- FROM (SELECT DISTINCT url FROM sources UNION SELECT unnest(['https://arxiv.org/abs/2406.04824v2', 'http://www.arxiv.org/pdf/2406.04824V2.pdf', 'https://arxiv.org/html/2406.04824/', 'https://arxiv.org/abs/hep-th/9901001', 'https://arxiv.org/list/cs', ' ', NULL]) UNION
+@query(r"""SELECT url, nullif(lower(regexp_extract(trim(url), '(?i)^(?:https?://)?(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$', 1)), '') AS article_id,
+ CASE WHEN coalesce(trim(url), '') = '' THEN 'empty' WHEN regexp_matches(trim(url), '(?i)^(?:https?://)?(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?/?$') THEN NULL
+ WHEN regexp_matches(trim(url), '(?i)^(?:https?://)?(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/[a-z-]+(?:\.[a-z-]+)?/\d{7}') THEN 'old_style' ELSE 'not_article' END AS refusal
+ FROM (SELECT DISTINCT url FROM sources UNION SELECT unnest(['https://arxiv.org/abs/2406.04824v2', 'http://www.arxiv.org/pdf/2406.04824V2.pdf', 'https://arxiv.org/html/2406.04824/', 'https://arxiv.org/abs/hep-th/9901001', 'https://arxiv.org/list/cs', 'arxiv.org/abs/2406.04824', 'https://export.arxiv.org/abs/2406.04824/', 'arxiv.org/abs/hep-th/9901001', 'https://arxiv.org/abs/cond-mat.stat-mech/0012345v3', 'https://arxiv.org/abs/2406.04824?x=1', '2406.04824', ' ', NULL]) UNION
  SELECT DISTINCT replace(replace(url, 'preprints.', ''), regexp_extract(url, '^https://preprints\.([a-z]+\.example)', 1) || '/abs/', 'arxiv.org/abs/2406.0') FROM sources WHERE url LIKE 'https://preprints.%')""")
 def url_gate(spark: SparkSession, d: str) -> DataFrame:
     urls = table(spark, d, "sources").select("url")
-    fixed = ["https://arxiv.org/abs/2406.04824v2", "http://www.arxiv.org/pdf/2406.04824V2.pdf", "https://arxiv.org/html/2406.04824/", "https://arxiv.org/abs/hep-th/9901001", "https://arxiv.org/list/cs", " ", None]
+    fixed = ["https://arxiv.org/abs/2406.04824v2", "http://www.arxiv.org/pdf/2406.04824V2.pdf", "https://arxiv.org/html/2406.04824/", "https://arxiv.org/abs/hep-th/9901001", "https://arxiv.org/list/cs", "arxiv.org/abs/2406.04824", "https://export.arxiv.org/abs/2406.04824/", "arxiv.org/abs/hep-th/9901001", "https://arxiv.org/abs/cond-mat.stat-mech/0012345v3", "https://arxiv.org/abs/2406.04824?x=1", "2406.04824", " ", None]
     given = spark.range(1).select(F.explode(F.array(*map(F.lit, fixed))).alias("url"))
     host = F.regexp_extract("url", r"^https://preprints\.([a-z]+\.example)", 1)
     made = urls.where(F.col("url").startswith("https://preprints.")).select(F.replace(F.replace("url", F.lit("preprints."), F.lit("")), F.concat(host, F.lit("/abs/")), F.lit("arxiv.org/abs/2406.0")).alias("url"))

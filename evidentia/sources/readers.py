@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RUNLOG = "program_id string, parent_ids string, generation string, iteration string, state string, metric_fitness string, mutation_model string, mutation_output string"
@@ -50,10 +53,11 @@ def group_counts(manifest: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an Atom feed of articles: url, version, title, summary."""
+    """Entries of an Atom feed of articles: url, version, title, summary; an entry without one of these is refused."""
     raw = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string, summary string").load(path)
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return raw.select("id", F.regexp_extract("id", r"(v\d+)$", 1).alias("version"), flat("title").alias("title"), flat("summary").alias("summary"))
+    flat = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    needed = lambda c, n: F.coalesce(c, F.raise_error(F.concat(F.lit(f"no {n} in entry "), F.coalesce("id", F.lit("?")))).cast("string")).alias(n)
+    return raw.select("id", needed(F.nullif(F.regexp_extract("id", r"(v\d+)$", 1), F.lit("")), "version"), needed(flat("title"), "title"), needed(flat("summary"), "summary"))
 
 
 def cache_misses(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -72,6 +76,58 @@ def first_answer(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn("content", found).withColumn("reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
 
 
+def payload_content(answers: DataFrame, body: str) -> DataFrame:
+    """``content`` of a provider's JSON answers: the first form of the markdown, or the text, that is not blank."""
+    at = lambda path: F.nullif(F.trim(F.get_json_object(body, path)), F.lit(""))
+    # Where markdown is a plain text, its parts are not there.
+    plain = F.when(~F.get_json_object(body, "$.markdown").startswith("{"), at("$.markdown"))
+    forms = [at("$.markdown.fit_markdown"), at("$.markdown.raw_markdown"), at("$.markdown.markdown_with_citations"), plain, at("$.document.md_content"), at("$.document.text_content"), at("$.text")]
+    return answers.withColumn("content", F.coalesce(*forms))
+
+
+def evidence_list(value: Column) -> Column:
+    """Evidence as a list: a JSON list as it is, any other text as the only entry, nothing as an empty list."""
+    kind = "array<string>"
+    listed = F.trim(value).startswith("[")
+    one = F.when(F.coalesce(value, F.lit("")) == "", F.array().cast(kind)).otherwise(F.array(value))
+    return F.when(listed, F.coalesce(F.from_json(value, kind), F.array(value))).otherwise(one)
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, row`` of a staging file: rows with the number of the physical line, blank lines counted and left out.
+
+    ``line_no`` is the place of the line in its file, whose blocks are numbered one after another.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    # Offsets per block, then a number inside the block: no task holds more than a block.
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("at"))
+    rows = lines.withColumn("inside", inside).join(before, ["file", "block"]).where(F.trim("value") != "")
+    parsed = F.from_json("value", STAGING, {"mode": "FAILFAST"})
+    return rows.select("file", (F.col("before") + F.col("inside")).alias("line_no"), parsed.alias("row"))
+
+
+def full_scan(rows: DataFrame, expected: int) -> DataFrame:
+    """``rows``, refused if there are more than were counted before: something writes while they are read."""
+    n = rows.count()
+    if n > expected:
+        raise ValueError(f"{n} rows were read where {expected} were expected")
+    return rows
+
+
+def read_prompts(folder: str) -> dict[str, str]:
+    """Prompts by step and name, from ``step/name.txt``; an empty one is refused."""
+    found = {}
+    for p in sorted(Path(folder).glob("*/*.txt")):
+        text = p.read_text(encoding="utf-8").strip()
+        if not text:
+            raise ValueError(f"{p} is empty")
+        found[f"{p.parent.name}/{p.stem}"] = text
+    return found
+
+
 def append_log(df: DataFrame, path: str, partition: str | None = None) -> None:
     """One file set per append; never rewritten."""
     writer = df.write.mode("append")

@@ -9,52 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evidentia.operators.jobs import ATTEMPTS, CALLS, SECONDS
-
-JOB = "job string, status string, attempts int, error string"
-
-#: Fixed value: which events a state accepts, and where they lead.
-MOVES = {
-    ("new", "enqueue"): "queued", ("queued", "claim"): "running", ("running", "stage"): "staged", ("staged", "claim"): "running",
-    ("running", "finish"): "ok", ("running", "release"): "queued",
-}
-
-
-def advance(status: str, attempts: int, event: str, permanent: bool = False) -> tuple[str, int]:
-    """Next status and attempts. A failure retries up to ``ATTEMPTS`` times per phase, a permanent one ends the job; a release gives the attempt back."""
-    if event == "fail" and status == "running":
-        return ("failed", attempts) if permanent or attempts >= ATTEMPTS else ("queued", attempts)
-    to = MOVES.get((status, event))
-    if to is None:
-        return status, attempts
-    return to, {"claim": attempts + 1, "stage": 0, "release": max(0, attempts - 1)}.get(event, attempts)
+from evidentia.operators.jobs import CALLS, SECONDS, advance
 
+JOB = "job string, status string, phase int, attempts int, error string"
 
 def job_stream(events: DataFrame) -> DataFrame:
     """State of each job after each trigger, from a stream of ``job, seq, event, permanent, error``."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, error = state.get if state.exists else ("new", 0, None)
+        *now, error = state.get if state.exists else ("new", 1, 0, None)
+        now = tuple(now)
         rows = pd.concat(list(frames)).sort_values("seq")
         for r in rows.itertuples():
-            status, attempts = advance(status, int(attempts), r.event, bool(r.permanent))
+            now = advance((now[0], int(now[1]), int(now[2])), r.event, bool(r.permanent))
             error = r.error if r.event == "fail" else error
-        state.update((status, attempts, error))
-        yield pd.DataFrame({"job": [key[0]], "status": [status], "attempts": [attempts], "error": [error]})
+        state.update((*now, error))
+        yield pd.DataFrame({"job": [key[0]], "status": [now[0]], "phase": [now[1]], "attempts": [now[2]], "error": [error]})
 
-    return events.groupBy("job").applyInPandasWithState(update, JOB, "status string, attempts int, error string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job").applyInPandasWithState(update, JOB, "status string, phase int, attempts int, error string", "update", GroupStateTimeout.NoTimeout)
 
 
 def rate_stream(calls: DataFrame, limit: int = CALLS, seconds: int = SECONDS) -> DataFrame:
-    """``client, ts, allowed`` for a stream of ``client, ts``; the state keeps the calls of the last window only."""
+    """``client, ts, allowed`` for a stream of ``client, ts``; the state keeps the allowed calls of the last window only."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
         rows, allowed = pd.concat(list(frames)).sort_values("ts"), []
         for ts in rows["ts"]:
             now = int(ts.value // 1000)
-            recent = [t for t in recent if t > now - seconds * 1_000_000] + [now]
-            allowed.append(len(recent) <= limit)
+            recent = [t for t in recent if t > now - seconds * 1_000_000]
+            allowed.append(len(recent) < limit)
+            if allowed[-1]:
+                recent.append(now)
         state.update((recent,))
         yield pd.DataFrame({"client": key[0], "ts": rows["ts"], "allowed": allowed})
 

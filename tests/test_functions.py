@@ -52,6 +52,26 @@ def test_url_gate(spark, url, article, refusal):
     assert _col(spark, [url], lambda c: F.struct(web.article_id(c), web.url_refusal(c))) == [(article, refusal)]
 
 
+def test_addresses_of_articles(spark):
+    good = {"https://arxiv.org/abs/2406.04824": "2406.04824", "http://arxiv.org/abs/2406.04824v2": "2406.04824v2", "https://www.arxiv.org/pdf/2406.04824v2.pdf": "2406.04824v2", "https://arxiv.org/html/2406.04824v1": "2406.04824v1", "https://export.arxiv.org/abs/2406.04824/": "2406.04824", "https://arxiv.org/abs/2406.04824V2": "2406.04824v2", "  https://arxiv.org/abs/1706.03762  ": "1706.03762"}
+    bad = ["https://arxiv.org/abs/", "https://arxiv.org/list/cs.LG/2406", "https://example.com/abs/2406.04824", "https://arxiv.org.evil.com/abs/1", "https://arxiv.org/abs/../../etc/passwd", "2406.04824", "https://arxiv.org/abs/2406.04824?x=1", "https://arxiv.org/abs/x#s1", "https://openreview.net/forum?id=x"]
+    old = ["arxiv.org/abs/hep-th/9901001", "https://arxiv.org/abs/cond-mat.stat-mech/0012345v3"]
+    assert _col(spark, list(good), web.article_id) == list(good.values())
+    assert set(_col(spark, bad, web.url_refusal)) == {"not_article"} and set(_col(spark, old, web.url_refusal)) == {"old_style"}
+
+
+def test_what_a_text_still_says(spark):
+    names = F.array(F.lit("ImageNet"), F.lit("Adam"))
+    got = _col(spark, ["on imagenet up 70 by helper_fn", "clean"], lambda c: leakage.violations(c, F.lit("-70 %"), names, F.array(F.lit("helper_fn"), F.lit("up"))))
+    assert [[tuple(x) for x in row] for row in got] == [[("number", "70"), ("name", "ImageNet"), ("term", "helper_fn")], []]
+
+
+def test_markup_of_pages(spark):
+    page = "<!DOCTYPE html><h2 id='a'>T &eacute;</h2><p>it&#8217;s&nbsp;5 &amp;lt; 6</p><style>x</style><h3>U</h3>b<!-- c -->"
+    assert _col(spark, [page], web.strip_tags) == ["T éit’s 5 < 6Ub"]
+    assert _col(spark, [page], lambda c: web.strip_tags(c, True)) == ["## T é\nit’s 5 < 6\n\n### U\nb"]
+
+
 def test_urls(spark):
     got = _col(spark, ["HTTP://Ex.org/A/?q=1#f", "https://ex.org", "https://ex.org/a//"], web.canonical)
     assert got == ["http://ex.org/A?q=1", "https://ex.org/", "https://ex.org/a"]
@@ -97,6 +117,9 @@ def test_leakage(spark):
     code = "def entry_point():\n    x = helper(1)\n    return {'system_prompt': 'You MUST answer (an integer)', 'n': someThing}\n"
     assert leakage.code_names(code) == ["entry_point", "helper", "someThing"]
     assert "broken_fn" in leakage.code_names("def broken_fn(:\n  '''")
+    assert leakage.code_names("# note_one\nx = 'no_name' + \"other_one\" # last_one\nMUST = fooBar") == ["fooBar"]
+    assert leakage.code_names('"""doc_string\nmore_doc"""\ncall_me (1); run(2)') == ["call_me", "run"]
+    assert leakage.code_names("it's the some_name\nhere") == ["some_name"]
     assert leakage.code_names(None) == []
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.functions.identity import text_hash
 from evidentia.operators import audit, graph, ingest, jobs, pairs, rank, runlog, search, synthesis, trust
 from evidentia.operators.link import link_batch
 from evidentia.operators.models import CountingJudge, HashingEncoder, OverlapArbiter, encoded
@@ -123,10 +124,12 @@ def test_cocitation_and_hops(spark):
 
 
 def test_replayed_evidence_adds_nothing(spark):
-    old = spark.createDataFrame([("a", "b", 2.0, ["s1"])], "source_id string, target_id string, weight double, evidence array<string>")
-    new = spark.createDataFrame([("a", "b", 5.0, "s1"), ("a", "b", 1.0, "s2"), ("b", "c", 1.0, "s2")], "source_id string, target_id string, weight double, evidence string")
-    got = {(r.source_id, r.target_id): (r.weight, r.evidence) for r in graph.merge_edges(old, new).collect()}
-    assert got == {("a", "b"): (3.0, ["s1", "s2"]), ("b", "c"): (1.0, ["s2"])}
+    schema = "source_id string, target_id string, evidence string, weight double"
+    old = spark.createDataFrame([("a", "b", "s1", 2.0)], schema)
+    new = spark.createDataFrame([("a", "b", "s1", 5.0), ("a", "b", "s2", 1.0), ("b", "c", "s2", 1.0), ("b", "c", "s2", 1.0)], schema)
+    merged = graph.merge_edges(old, new)
+    assert _set(graph.edge_weights(merged)) == {("a", "b", 3.0, 2), ("b", "c", 1.0, 1)}
+    assert _set(graph.merge_edges(merged, new)) == _set(merged)
 
 
 def test_run_log(spark):
@@ -193,10 +196,10 @@ def test_seeds_are_the_least_similar_pair_at_any_size():
 def test_link_fold(spark):
     texts = [("s1", 1, "alpha beta gamma delta"), ("s1", 2, "alpha beta gamma delta"), ("s1", 3, "alpha beta gamma epsilon"), ("s1", 4, "new thing entirely here"), ("s1", 5, "new thing entirely there"), ("s2", 1, "stored already")]
     enc = HashingEncoder(32)
-    rows = spark.createDataFrame([(s, n, t, f"h:{t}") for s, n, t in texts], "source_id string, line long, text string, hash string").withColumn("vec", encoded(F.col("text"), enc))
+    rows = spark.createDataFrame([(s, n, t) for s, n, t in texts], "source_id string, line long, text string").withColumn("hash", text_hash(F.col("text"))).withColumn("vec", encoded(F.col("text"), enc))
     cand = F.when((F.col("source_id") == "s1") & (F.col("line") <= 3), F.expr("array(named_struct('place', 1, 'idea_id', 'i1', 'thesis_id', 't1'))"))
     ideas = spark.createDataFrame([("i1", "alpha beta gamma")], "idea_id string, text string")
-    stored = spark.createDataFrame([("s2", "h:stored already")], "source_id string, hash string")
+    stored = spark.createDataFrame([("s2", "stored already")], "source_id string, text string").select("source_id", text_hash(F.col("text")).alias("hash"))
     got = {(r.source_id, r.line): (r.decision, r.idea_id or r.error) for r in link_batch(rows.withColumn("candidates", cand), ideas, stored, OverlapArbiter(0.5)).collect()}
     assert got["s1", 1] == ("linked", "i1") and got["s1", 2] == ("duplicate", None) and got["s1", 3] == ("linked", "i1")
     assert got["s1", 4][0] == "new" and got["s1", 5] == ("linked", got["s1", 4][1]) and got["s2", 1] == ("duplicate", None)
@@ -207,12 +210,13 @@ def test_a_failed_decision_waits(spark):
         def choose(self, text, candidates):
             return 7
 
-    rows = spark.createDataFrame([("s", 1, "t", "h", None)], "source_id string, line long, text string, hash string, vec array<float>")
+    rows = spark.createDataFrame([("s", 1, "t", None)], "source_id string, line long, text string, vec array<float>").withColumn("hash", text_hash(F.col("text")))
     rows = rows.withColumn("candidates", F.expr("array(named_struct('place', 1, 'idea_id', 'i1', 'thesis_id', 't1'))"))
     ideas = spark.createDataFrame([("i1", "x")], "idea_id string, text string")
     none = spark.createDataFrame([], "source_id string, hash string")
     assert link_batch(rows, ideas, none, Wrong()).collect()[0].decision == "pending"
     assert "not stored" in link_batch(rows, ideas.where("false"), none, OverlapArbiter()).collect()[0].error
+    assert "hash" in link_batch(rows.withColumn("hash", F.lit("h")), ideas, none, OverlapArbiter()).collect()[0].error
 
 
 def test_trust_sweep_fails_closed(spark):
@@ -236,9 +240,28 @@ def test_audits(spark):
 
 def test_rate_limit(spark):
     base = datetime(2024, 1, 1)
-    df = spark.createDataFrame([("a", base + timedelta(seconds=s)) for s in (0, 1, 2, 60, 61)], "client string, ts timestamp")
-    assert [r.allowed for r in jobs.rate_limit(df, "client", "ts", 2, 60).orderBy("ts").collect()] == [True, True, False, False, False]
-    assert [r.in_window for r in jobs.rate_limit(df, "client", "ts", 2, 60).orderBy("ts").collect()] == [1, 2, 3, 3, 3]
+    df = spark.createDataFrame([(c, base + timedelta(seconds=s), f"{c}{s}") for c in "ab" for s in (0, 1, 2, 3, 60, 61, 62, 200)], "client string, ts timestamp, k string").repartition(3)
+    got = {r.k: (r.in_window, r.allowed) for r in jobs.rate_limit(df, "client", "ts", "k", 2, 60).collect()}
+    assert len(got) == 16
+    # Refused calls use nothing up: who keeps calling is let in when the window has passed.
+    assert [got[f"a{s}"] for s in (0, 1, 2, 3, 60, 61, 62, 200)] == [(0, True), (1, True), (2, False), (2, False), (1, True), (1, True), (2, False), (0, True)]
+
+
+def test_ideas_opened_by_two_sources_are_one(spark):
+    from evidentia.operators.link import join_across
+
+    texts = [("s1", 1, "alpha beta gamma delta"), ("s2", 2, "Alpha beta gamma delta!"), ("s2", 3, "alpha beta gamma delta epsilon"), ("s3", 4, "wholly other words"), ("s4", 5, "alpha beta gamma delta")]
+    enc = HashingEncoder(32)
+    rows = spark.createDataFrame([(s, n, t) for s, n, t in texts], "source_id string, line long, text string").withColumn("hash", text_hash(F.col("text"))).withColumn("vec", encoded(F.col("text"), enc))
+    none = F.expr("cast(array() as array<struct<place:int,idea_id:string,thesis_id:string>>)")
+    ideas = spark.createDataFrame([], "idea_id string, text string")
+    stored = spark.createDataFrame([], "source_id string, hash string")
+    decided = link_batch(rows.withColumn("candidates", none), ideas, stored, OverlapArbiter(0.5))
+    order = rows.groupBy("source_id").agg(F.min("line").alias("turn"))
+    got = {(r.source_id, r.line): (r.decision, r.idea_id) for r in join_across(decided, rows, order, OverlapArbiter(0.5)).collect()}
+    first = got["s1", 1][1]
+    assert got["s1", 1][0] == "new" and got["s3", 4][0] == "new"
+    assert got["s2", 2] == got["s2", 3] == got["s4", 5] == ("linked", first)
 
 
 def test_pairs_are_disjoint_and_repeatable(spark):

@@ -4,11 +4,16 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
-from evidentia.operators.jobs import ATTEMPTS
+from pyspark.sql import functions as F
+
+from evidentia.functions.identity import with_sequence
+from evidentia.operators import ingest
+from evidentia.operators.jobs import ATTEMPTS, advance
+from evidentia.operators.models import SentenceExtractor
 from evidentia.scratch import materialise, shared_dir, size_of
 from evidentia.sources import readers
-from evidentia.sources.store import Conflict, SnapshotStore, append_leaves, apply_split, index_insert, mark_dirty, set_trust, upsert
-from evidentia.streaming.jobs import advance, job_stream, rate_stream
+from evidentia.sources.store import Conflict, SnapshotStore, append_leaves, apply_patches, apply_split, index_insert, mark_dirty, rebuild_index, set_trust, split_problems, upsert
+from evidentia.streaming.jobs import job_stream, rate_stream
 
 
 def test_snapshots_are_whole_and_refuse_stale_writers(spark, tmp_path):
@@ -22,6 +27,9 @@ def test_snapshots_are_whole_and_refuse_stale_writers(spark, tmp_path):
     with pytest.raises(Conflict):
         store.publish({"a": a}, first)
     assert store.read("a").count() == 2
+    third = store.publish({"c": a}, second)
+    # Unchanged tables keep their files.
+    assert store._tables(third)["b"] == store._tables(first)["b"]
 
 
 def test_writes(spark):
@@ -48,6 +56,59 @@ def test_writes(spark):
         index_insert(index, spark.createDataFrame([("l1", "i", "other")], "thesis_id string, idea_id string, text string"))
 
 
+def test_refused_writes(spark):
+    leaves = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "id string, idea_id string")
+    moves = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")], "id string, new_idea string")
+    kids = spark.createDataFrame([("x",), ("y",), ("z",)], "new_idea string")
+    assert {tuple(r) for r in split_problems(leaves, moves, "p", kids).collect()} == {("a", "twice"), ("c", "stolen"), ("z", "empty child"), ("p", "emptied parent")}
+    ideas = spark.createDataFrame([("i", "t", ["x"], None)], "id string, text string, failure_modes array<string>, differentiation string")
+    patch = lambda f: spark.createDataFrame([("i", f)], "id string, fields map<string,string>")
+    assert tuple(apply_patches(ideas, patch({"text": "u", "failure_modes": '["y"]', "differentiation": None})).first()) == ("i", "u", ["y"], None)
+    for bad in ({}, {"origin": "x"}, {"text": None}, {"rederived_at_leaf_count": "-1"}):
+        with pytest.raises(Conflict):
+            apply_patches(ideas, patch(bad))
+    rows = spark.createDataFrame([("a", "i", "t", [1.0, 0.0]), ("b", "i", "t", [1.0, 1.0])], "id string, idea_id string, text string, vec array<float>")
+    assert rebuild_index(rows.where("id = 'a'"), 2).count() == 1
+    with pytest.raises(Conflict):
+        rebuild_index(rows, 2)
+
+
+def test_extraction_is_made_once(spark):
+    docs = spark.createDataFrame([(1, "up 3 points. nothing"), (2, "up 3 points. nothing"), (3, "seen 9"), (4, None)], "k int, text string")
+    seen = ingest.cache_keys(docs.where("k = 3"), "text", "p").withColumn("drafts", F.array(F.lit("old")))
+    got = ingest.extract(docs, "text", "p", seen, SentenceExtractor()).collect()
+    assert sorted(r.drafts for r in got) == [["old"], ["up 3 points"]]
+
+
+def test_numbered_lines_and_prompts(spark, tmp_path):
+    line = '{"source": {"id": "%s"}, "section_id": "S"}'
+    (tmp_path / "s.jsonl").write_text("\n".join(line % i if i % 3 else "" for i in range(1, 8)) + "\n")
+    got = {(r.line_no, r.row.source.id) for r in readers.read_numbered(spark, str(tmp_path / "s.jsonl")).collect()}
+    assert got == {(i, str(i)) for i in (1, 2, 4, 5, 7)}
+    assert readers.full_scan(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        readers.full_scan(spark.range(4), 3)
+    (tmp_path / "prompts" / "parse").mkdir(parents=True)
+    (tmp_path / "prompts" / "parse" / "system.txt").write_text("do\n")
+    assert readers.read_prompts(str(tmp_path / "prompts")) == {"parse/system": "do"}
+    (tmp_path / "prompts" / "parse" / "empty.txt").write_text(" ")
+    with pytest.raises(ValueError):
+        readers.read_prompts(str(tmp_path / "prompts"))
+
+
+def test_sequences_go_on(spark):
+    rows = spark.range(100).select((F.col("id") * 7 % 100).alias("v")).repartition(5)
+    assert {(r.v, r.seq) for r in with_sequence(rows, 10, "v").collect()} == {(v, v + 11) for v in range(100)}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    far = Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
+
+
 def test_scratch(spark):
     df = materialise(spark.range(10), "t")
     assert df.count() == 10 and shared_dir(spark) == shared_dir(spark)
@@ -92,14 +153,17 @@ def test_logs_and_notes(spark, tmp_path):
 
 
 def test_job_moves():
-    assert advance("new", 0, "enqueue") == ("queued", 0)
-    assert advance("queued", 0, "claim") == ("running", 1)
-    assert advance("running", 1, "release") == ("queued", 0)
-    assert advance("running", 1, "stage") == ("staged", 0)
-    assert advance("running", 1, "fail") == ("queued", 1)
-    assert advance("running", ATTEMPTS, "fail") == ("failed", ATTEMPTS)
-    assert advance("running", 1, "fail", True) == ("failed", 1)
-    assert advance("ok", 1, "claim") == ("ok", 1)
+    new, queued = ("new", 1, 0), ("queued", 1, 0)
+    assert advance(new, "enqueue") == queued
+    assert advance(queued, "claim") == ("running", 1, 1)
+    assert advance(("running", 1, 1), "release") == queued
+    assert advance(("running", 2, 1), "release") == ("staged", 2, 0)
+    assert advance(("running", 1, 1), "stage") == ("staged", 2, 0)
+    assert advance(("running", 1, 1), "fail") == ("queued", 1, 1)
+    assert advance(("running", 2, 1), "fail") == ("staged", 2, 1)
+    assert advance(("running", 1, ATTEMPTS), "fail") == ("failed", 1, ATTEMPTS)
+    assert advance(("running", 1, 1), "fail", True) == ("failed", 1, 1)
+    assert advance(("ok", 2, 1), "claim") == ("ok", 2, 1)
 
 
 def _stream(spark, tmp_path, name, schema, batches, build, mode):
@@ -117,7 +181,7 @@ def test_job_stream_keeps_state_over_triggers(spark, tmp_path):
     schema = "job string, seq int, event string, permanent boolean, error string"
     batches = [[("a", 1, "enqueue", False, None), ("b", 1, "enqueue", False, None), ("a", 2, "claim", False, None)], [("a", 3, "fail", False, "net"), ("a", 4, "claim", False, None), ("b", 2, "claim", False, None), ("b", 3, "fail", True, "bad")]]
     out = _stream(spark, tmp_path, "jobs_out", schema, batches, job_stream, "update").collect()
-    assert ("a", "running", 2, "net") in [tuple(r) for r in out] and ("b", "failed", 1, "bad") in [tuple(r) for r in out]
+    assert ("a", "running", 1, 2, "net") in [tuple(r) for r in out] and ("b", "failed", 1, 1, "bad") in [tuple(r) for r in out]
 
 
 def test_rate_stream(spark, tmp_path):
