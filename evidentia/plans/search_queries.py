@@ -282,16 +282,22 @@ def link_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """The arriving lines that repeat a stored or earlier text of their source."""
-    return link_batch(spark, d).where("decision = 'duplicate'").select("source_id", "line")
+    """The arriving lines whose text is stored under their source, as the linking decides."""
+    from evidentia.functions.identity import text_hash
+    from evidentia.plans.tables import table
+
+    turn = F.col("batch_no").cast("long") * 1_000_000_000 + F.col("line_no")
+    lines = table(spark, d, "thesis_batches").select("source_id", turn.alias("line"), text_hash(F.col("text")).alias("hash"))
+    stored = model.leaves(spark, d, "source_id", "text").select("source_id", text_hash(F.col("text")).alias("hash"))
+    again = link_batch(spark, d).where("decision = 'duplicate'").join(lines, ["source_id", "line"])
+    return again.join(stored, ["source_id", "hash"], "left_semi").select("source_id", "line")
 
 
 _HASH = f"md5(lower(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))))"
 QUERIES["link_duplicates"] = link_duplicates
-# A line that waits for a decision (its candidate is not stored) leaves its text open: the next one with it is no duplicate.
 ORACLE["link_duplicates"] = sql(f"""WITH b AS (SELECT source_id, CAST(batch_no AS BIGINT) * 1000000000 + line_no AS line, {_HASH} AS hash FROM thesis_batches WHERE text <> '' AND source_id IS NOT NULL),
  s AS (SELECT DISTINCT source_id, {_HASH} AS hash FROM thesis_out WHERE text IS NOT NULL AND source_id IS NOT NULL)
-SELECT source_id, line FROM b WHERE EXISTS (SELECT 1 FROM s WHERE s.source_id = b.source_id AND s.hash = b.hash) OR EXISTS (SELECT 1 FROM b c WHERE c.source_id = b.source_id AND c.hash = b.hash AND c.line < b.line)""")
+SELECT source_id, line FROM b SEMI JOIN s USING (source_id, hash)""")
 QUERIES["link_batch"] = link_batch
 
 

@@ -267,13 +267,13 @@ def extract_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, n AS pos, title, md5(body) AS body FROM (SELECT doc_id, title, body, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM
- (SELECT doc_id, unnest(range(1, len(h) + 1)) AS k, trim(regexp_extract(h[k], '^[ \t]{0,3}#{1,6}[ \t]+(.+?)[ \t]*$', 1)) AS title, regexp_replace(b[k + 1], '^\s+|\s+$', '', 'g') AS body FROM
+ (SELECT doc_id, unnest(range(1, len(h) + 1)) AS k, regexp_replace(regexp_extract(h[k], '^[ \t]{0,3}#{1,6}[ \t]+(.+?)[ \t]*$', 1), '^\s+|\s+$', '', 'g') AS title, regexp_replace(b[k + 1], '^\s+|\s+$', '', 'g') AS body FROM
  (SELECT doc_id, regexp_extract_all(text, '(?m)^[ \t]{0,3}#{1,6}[ \t]+.+?[ \t]*$') AS h, regexp_split_to_array(text, '(?m)^[ \t]{0,3}#{1,6}[ \t]+.+?[ \t]*$') AS b FROM documents WHERE text IS NOT NULL)) WHERE body <> '')""")
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.functions import sections
 
     found = sections.sections(table(spark, d, "documents"), "doc_id", "text")
-    return found.select("doc_id", F.substring("id", 2, 9).cast("long").alias("pos"), F.trim("title").alias("title"), F.md5("text").alias("body"))
+    return found.select("doc_id", F.substring("id", 2, 9).cast("long").alias("pos"), "title", F.md5("text").alias("body"))
 
 
 @query("""SELECT doc_id, coalesce(nullif(trim(fit), ''), nullif(trim(raw), ''), nullif(trim(plain), '')) AS content FROM
