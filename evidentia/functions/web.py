@@ -57,6 +57,26 @@ def web_id(url: Column) -> Column:
     return F.concat(F.lit("web_"), F.substring(F.sha1(canonical(url)), 1, 16))
 
 
+#: Fixed value: hosts whose addresses are papers.
+PAPER_HOSTS = ("arxiv.org", "www.arxiv.org")
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), "^.*@", ""), r":\d*$", "")
+
+
+def is_paper(url: Column) -> Column:
+    """Whether an address is that of a paper: a file of that kind, a folder of such, or a host of papers."""
+    path = F.lower(_part(url, 3))
+    return F.coalesce(path.rlike(r"[^/]\.pdf/*$") | path.contains("/pdf/") | _host(url).isin(*PAPER_HOSTS), F.lit(False))
+
+
+def paper_url(url: Column) -> Column:
+    """The file of a paper whose page is given; any other address as it is."""
+    paper = F.regexp_extract(_part(url, 3), "^/abs/+(.*?)/*$", 1)
+    return F.when(_host(url).isin(*PAPER_HOSTS) & (paper != ""), F.concat(F.lit("https://arxiv.org/pdf/"), paper, F.lit(".pdf"))).otherwise(url)
+
+
 def _v4(host: Column) -> Column:
     """The number of a dotted quad without leading zeros, null for any other host."""
     octet = r"(0|[1-9]\d{0,2})"

@@ -38,6 +38,18 @@ class Extractor(Protocol):
         """Drafts of a section."""
 
 
+class Combiner(Protocol):
+    def combine(self, a: str, b: str) -> tuple[str, str] | None:
+        """Text and applicability of what two ideas make together; None if they make nothing."""
+
+
+class JoiningCombiner:
+    """Both texts in a row; texts of which one begins with the other make nothing."""
+
+    def combine(self, a: str, b: str) -> tuple[str, str] | None:
+        return None if a.startswith(b) or b.startswith(a) else (f"{a} / {b}", f"where both apply ({len(a)}, {len(b)})")
+
+
 class SentenceExtractor:
     """The sentences of a section that hold a number."""
 

@@ -47,6 +47,13 @@ def sweep(ideas: DataFrame, leaves: DataFrame, judge: Judge, calls: int = CALLS)
 
 
 def summary(swept: DataFrame) -> DataFrame:
-    """One row: how many were scored, failed, deferred, and the mean trust given."""
+    """One row: how many ideas were due, scored, failed, deferred, and the mean trust given."""
     n = lambda o: F.sum((F.col("outcome") == o).cast("long"))
-    return swept.agg(*(F.coalesce(n(o), F.lit(0)).alias(o) for o in ("scored", "failed", "deferred")), F.round(F.avg("trust"), 4).alias("mean"))
+    parts = [F.coalesce(n(o), F.lit(0)).alias(o) for o in ("scored", "failed", "deferred")]
+    return swept.agg(F.count("*").alias("due"), *parts, F.coalesce(F.round(F.avg("trust"), 3), F.lit(0.0)).alias("mean"))
+
+
+def capped(swept: DataFrame, leaves: DataFrame, most: int = 16) -> DataFrame:
+    """``id, leaves``: scored ideas of which the judge saw a part of the leaves only."""
+    n = leaves.groupBy(F.col("idea_id").alias("id")).agg(F.countDistinct("id").alias("leaves")).where(F.col("leaves") > most)
+    return swept.where("outcome = 'scored'").select("id").join(n, "id")

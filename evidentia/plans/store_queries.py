@@ -230,15 +230,6 @@ def split_ideas(spark: SparkSession, d: str) -> DataFrame:
     return run(rows, "idea_id", "row_id", "vec")
 
 
-@query()
-def trust_sweep(spark: SparkSession, d: str) -> DataFrame:
-    from evidentia.operators import trust
-    from evidentia.operators.models import CountingJudge
-
-    leaves = ingest.judge_leaves(table(spark, d, "thesis_out")).join(model.leaves(spark, d, "id", "text"), "id")
-    return trust.sweep(model.ideas(spark, d), leaves, CountingJudge())
-
-
 @query("SELECT idea_id AS id, source_id, CAST(sum(n) OVER (PARTITION BY idea_id) AS BIGINT) AS leaves, n FROM (SELECT idea_id, source_id, count(*) AS n FROM leaf WHERE idea_id IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2)")
 def leaves_by_source(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W

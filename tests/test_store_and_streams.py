@@ -1,4 +1,6 @@
 import json
+import os
+import re
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions.identity import with_sequence
-from evidentia.operators import ingest
+from evidentia.operators import ingest, vault
 from evidentia.operators.jobs import ATTEMPTS, advance
 from evidentia.operators.models import SentenceExtractor
 from evidentia.scratch import materialise, shared_dir, size_of
@@ -152,6 +154,28 @@ def test_logs_and_notes(spark, tmp_path):
         readers.write_notes(notes.union(notes), str(tmp_path / "notes"))
 
 
+def test_notes_become_files(spark, tmp_path):
+    src = spark.createDataFrame([("s1", "http://x/a>b", "T [x]", "paper", "v1", None), ("s2", "u", None, "doc", None, None)], "id string, url string, title string, type string, version string, retrieved_at string")
+    idea = spark.createDataFrame([("i1", "An | idea", "when\nit", "", ["m"], None, "e", 0.12345), ("i2", "alone", None, None, [], None, None, None)], "id string, text string, applicability_conditions string, limitations string, failure_modes array<string>, effect_claimed string, effect_observed string, trust_score double")
+    leaf = spark.createDataFrame([("l1", "s1", "i1", "one\ntwo [[i9]]", "c", "e", "p"), ("l2", "s2", "i1", None, None, None, None), ("l3", "s9", "i1", "lost", "c", "e", "p")], "id string, source_id string, idea_id string, text string, context string, effect string, locator string")
+    found = vault.notes(src, idea, leaf)
+    folder = str(tmp_path / "vault")
+    assert vault.write_folder(found, folder) == 7
+    assert vault.write_folder(found, folder) == 7
+    files = {f: (tmp_path / "vault" / f).read_text() for f in os.listdir(folder) if f.endswith(".md")}
+    assert set(files) == {"one-two-i9-l1.md", "l2.md", "an-idea-i1.md", "alone-i2.md", "t-x-s1.md", "s2.md", "README.md"}
+    assert "> one\n> two \\[\\[i9\\]\\]" in files["one-two-i9-l1.md"] and "[[an-idea-i1]]" in files["one-two-i9-l1.md"] and "<http://x/a%3Eb>" in files["one-two-i9-l1.md"]
+    assert "orphan: true" in files["alone-i2.md"] and "orphan" not in files["an-idea-i1.md"] and "## Leaves (2)" in files["an-idea-i1.md"]
+    known = {f[:-3] for f in files}
+    assert all(t in known for body in files.values() for t in re.findall(r"(?<!\\)\[\[([^\]]+)\]\]", body))
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "x").write_text("")
+    with pytest.raises(ValueError):
+        vault.write_folder(found, str(tmp_path / "mine"))
+    with pytest.raises(ValueError):
+        vault.write_folder(found.unionByName(found), folder)
+
+
 def test_job_moves():
     new, queued = ("new", 1, 0), ("queued", 1, 0)
     assert advance(new, "enqueue") == queued
