@@ -20,12 +20,19 @@ def ideas_with_leaves(ideas: DataFrame, leaves: DataFrame) -> DataFrame:
     return ideas.select("id").join(own, "id", "left").select("id", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), F.coalesce("leaves", F.array().cast("array<string>")).alias("leaves"))
 
 
-def leaf_page(leaves: DataFrame, idea: str | None, source: str | None, offset: int, limit: int) -> DataFrame:
-    """One page of the leaves of an idea and / or a source, by id."""
+def leaves_of(leaves: DataFrame, idea: str | None = None, source: str | None = None) -> DataFrame:
+    """The leaves of an idea and / or a source."""
     for column, wanted in (("idea_id", idea), ("source_id", source)):
         if wanted is not None:
             leaves = leaves.where(F.col(column) == wanted)
-    return leaves.orderBy("id").offset(offset).limit(limit)
+    return leaves
+
+
+def leaf_page(leaves: DataFrame, idea: str | None, source: str | None, offset: int, limit: int) -> DataFrame:
+    """One page of the leaves of an idea and / or a source, by id, with the ``total`` of all pages."""
+    found = leaves_of(leaves, idea, source)
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy("id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def cocitation(leaves: DataFrame, min_ideas: int = 2) -> DataFrame:

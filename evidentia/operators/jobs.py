@@ -6,8 +6,10 @@ sorted partitions: a key's events pass one after another, and only its state is
 
 from __future__ import annotations
 
+import threading
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,24 @@ LIVE = ("queued", "running", "staged")
 ATTEMPTS, KEEP, CALLS, SECONDS, CEILING = 3, 200, 120, 60, 100
 
 
+class Slot:
+    """Room for one piece of work in this process; who finds it taken is told what holds it."""
+
+    def __init__(self) -> None:
+        self._lock, self.holder = threading.Lock(), None
+
+    @contextmanager
+    def held(self, name: str) -> Iterator[None]:
+        if not self._lock.acquire(blocking=False):
+            raise RuntimeError(f"{self.holder} is running")
+        self.holder = name
+        try:
+            yield
+        finally:
+            self.holder = None
+            self._lock.release()
+
+
 def last_event(events: DataFrame, job: str, *order: str) -> DataFrame:
     """The newest event of each job: its state."""
     return events.groupBy(job).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("e")).select("e.*")
@@ -137,7 +157,7 @@ def advance(state: tuple[str, int, int], event: str, permanent: bool = False) ->
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """``job, status, phase, attempts`` after all events of a log ``job, seq, event, permanent``."""
+    """``job, status, phase, attempts`` after all events of a log ``job, seq, event, permanent``; events of no job are left out."""
 
     def fold(rows: Iterator[tuple], key: tuple) -> Iterator[tuple]:
         state = ("new", 1, 0)
@@ -146,7 +166,7 @@ def replay(events: DataFrame) -> DataFrame:
         yield key[0], *state
 
     kind = events.schema["job"].dataType.simpleString()
-    return in_order(events.select("job", "seq", "event", "permanent"), ["job"], ["seq"], fold, f"job {kind}, status string, phase int, attempts int")
+    return in_order(events.where(F.col("job").isNotNull()).select("job", "seq", "event", "permanent"), ["job"], ["seq"], fold, f"job {kind}, status string, phase int, attempts int")
 
 
 def rate_limit(calls: DataFrame, client: str, ts: str, key: str, limit: int = CALLS, seconds: int = SECONDS) -> DataFrame:
@@ -156,7 +176,7 @@ def rate_limit(calls: DataFrame, client: str, ts: str, key: str, limit: int = CA
     pauses are folded apart from the others: a busy client is spread over tasks. Ties go by ``key``.
     """
     at, window = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
-    rows = calls.select(F.col(client).alias("_client"), at.alias("_at"), F.col(key).alias(key))
+    rows = calls.select(F.col(client).cast("string").alias("_client"), at.alias("_at"), F.col(key).alias(key))
     down = W.partitionBy("_client").orderBy("_at", key)
     fresh = F.coalesce((F.col("_at") - F.lag("_at").over(down) >= window).cast("int"), F.lit(0))
     rows = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(down)).select("_client", "_run", "_at", key)

@@ -150,3 +150,8 @@ def join_across(decided: DataFrame, rows: DataFrame, order: DataFrame, arbiter:
     out = decided.join(joins, "idea_id", "left")
     decision = F.when(F.col("into").isNotNull() & (F.col("decision") == "new"), "linked").otherwise(F.col("decision"))
     return out.select("source_id", "line", "thesis_id", F.coalesce("into", "idea_id").alias("idea_id"), decision.alias("decision"), "error")
+
+
+def pending_rows(decided: DataFrame, rows: DataFrame) -> DataFrame:
+    """What waits: the whole staged row with its candidates, and the error."""
+    return rows.join(decided.where("decision = 'pending'").select("source_id", "line", "error"), ["source_id", "line"])

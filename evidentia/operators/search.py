@@ -24,8 +24,8 @@ from evidentia.scratch import materialise
 #: Constant of reciprocal rank fusion, and the two of BM25.
 RRF_K, K1, B = 60, 1.2, 0.75
 
-#: Most queries that are sent to the scans at a time, most cells of their term matrix, cells scored at once.
-QUERY_BATCH, QUERY_CELLS, SCORE_CELLS = 10_000, 8 << 20, 4 << 20
+#: Most queries that are sent to the scans at a time, cells scored at once.
+QUERY_BATCH, SCORE_CELLS = 10_000, 4 << 20
 
 TERM = r"[\p{L}\p{N}_]+"
 
@@ -44,53 +44,59 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 50) -> DataFrame:
     """``query_id, key, bm25, bm25_rank``: the ``k`` best texts of each query.
 
-    Up to ``QUERY_BATCH`` queries (and ``QUERY_CELLS`` query-term cells) are sent to the scan, which scores whole
-    Arrow batches of texts with one matrix product and passes on its best ``k`` per query; more
-    queries are joined with the postings instead. Texts without a term of a query are no hits.
+    Up to ``QUERY_BATCH`` queries are sent to the scan at a time, as lists of the queries of each term: whole
+    Arrow batches of texts are scored with them, and each passes on its best ``k`` per query. More
+    queries are asked block by block. Texts without a term of a query are no hits.
     """
     asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).where(F.size("t") > 0)
-    some = asked.limit(QUERY_BATCH + 1).toPandas()
+    best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
+    found = []
+    for some in _blocks(asked, "t"):
+        top = _lexical(docs, queries, some, key, text, k).withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k)
+        found.append(top if len(some) < QUERY_BATCH and not found else materialise(top, "lexical"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _lexical(docs: DataFrame, queries: DataFrame, some: pd.DataFrame, key: str, text: str, k: int) -> DataFrame:
     vocabulary = {t: i for i, t in enumerate(sorted({t for ts in some.t for t in ts}))}
-    if len(some) > QUERY_BATCH or len(some) * len(vocabulary) > QUERY_CELLS:
-        return _bm25_by_join(docs, asked, key, text, k)
     scan = docs.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("t"))
     # One pass counts the texts with each term of the queries and, under the empty term, all texts and their lengths.
     words = docs.sparkSession.createDataFrame([("", -1), *vocabulary.items()], "term string, i int")
     each = scan.select(F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
-    found = each.join(F.broadcast(words), "term").groupBy("i").agg(F.count("*").alias("df"), F.sum("len").alias("len"))
-    rows_of = {r.i: r for r in found.collect()}  # one row per term of the queries
-    n, df = (rows_of[-1].df if -1 in rows_of else 0), {i: r.df for i, r in rows_of.items()}
-    idf = np.array([max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) if i in df else 0.0 for i in range(len(vocabulary))])
-    weights = np.zeros((len(vocabulary), len(some)))
-    for q, ts in enumerate(some.t):
-        for t in ts:
-            weights[vocabulary[t], q] = 1.0
-    weights *= idf[:, None]
-    names, mean = some.query_id.to_numpy(), (rows_of[-1].len / n if n and rows_of[-1].len else 1.0)
+    rows_of = {r.i: r for r in each.join(F.broadcast(words), "term").groupBy("i").agg(F.count("*").alias("df"), F.sum("len").alias("len")).collect()}  # one row per term of the queries
+    n = rows_of[-1].df if -1 in rows_of else 0
+    mean = rows_of[-1].len / n if n and rows_of[-1].len else 1.0
+    df = [rows_of[i].df if i in rows_of else 0 for i in range(len(vocabulary))]
+    idf = np.array([max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6) if d else 0.0 for d in df])
+    # The queries of each term, end to end.
+    term = np.array([vocabulary[t] for ts in some.t for t in ts], np.int64)
+    asks = np.repeat(np.arange(len(some)), [len(ts) for ts in some.t]) if len(some) else term
+    asks = asks[np.argsort(term, kind="stable")]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocabulary)))])
+    names = some.query_id.to_numpy()
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, bm25 double"
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    rows = max(16, SCORE_CELLS // max(1, len(some)))
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, asks, bounds, names))
+    step = max(16, SCORE_CELLS // (8 * max(1, len(some))))
 
     def score(batches):
-        vocabulary, weights = shipped.value
+        vocabulary, idf, asks, bounds, names = shipped.value
         for whole in batches:
-            for lo in range(0, len(whole), rows):
-                b = whole.iloc[lo : lo + rows]
-                # The texts' terms that occur in queries, as one sparse matrix: text, term, weight.
+            for lo in range(0, len(whole) if len(names) else 0, step):
+                b = whole.iloc[lo : lo + step]
+                # The texts' terms that occur in queries, with their weights, then all queries of each.
                 at = [[vocabulary[t] for t in ts if t in vocabulary] for ts in b.t]
                 length = np.array([len(ts) for ts in b.t], float)
                 doc = np.repeat(np.arange(len(b)), np.array([len(x) for x in at], np.int64))
                 cell, tf = np.unique(doc * len(vocabulary) + np.fromiter((i for x in at for i in x), np.int64, len(doc)), return_counts=True)
-                doc, term = cell // len(vocabulary), cell % len(vocabulary)
-                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-                scores = np.zeros((len(b), weights.shape[1]))
-                first = np.flatnonzero(np.diff(doc, prepend=-1))
-                for d, lo, hi in zip(doc[first], first, np.append(first[1:], len(doc)), strict=True):
-                    scores[d] = value[lo:hi] @ weights[term[lo:hi]]
-                yield _best(scores.T.round(6), names, b[key].to_numpy(), k, key, "bm25", 0.0)
+                doc, i = cell // len(vocabulary), cell % len(vocabulary)
+                value = idf[i] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+                many = bounds[i + 1] - bounds[i]
+                each = np.repeat(np.arange(len(i)), many)
+                q = asks[np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bounds[i], many)]
+                scores = np.bincount(q * len(b) + doc[each], weights=value[each], minlength=len(names) * len(b)).reshape(len(names), len(b))
+                yield _best(scores.round(6), names, b[key].to_numpy(), k, key, "bm25", 0.0)
 
-    best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
-    return scan.mapInPandas(score, kinds).withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k)
+    return scan.mapInPandas(score, kinds)
 
 
 def _best(scores: np.ndarray, queries: np.ndarray, keys: np.ndarray, k: int, key: str, name: str, above: float = -np.inf) -> pd.DataFrame:
@@ -103,21 +109,6 @@ def _best(scores: np.ndarray, queries: np.ndarray, keys: np.ndarray, k: int, key
     return pd.DataFrame({"query_id": queries[at], key: keys[who], name: scores[at, who] + 0.0})
 
 
-def _bm25_by_join(docs: DataFrame, asked: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    asked = asked.select("query_id", F.explode("t").alias("term"))
-    scan = docs.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("t"))
-    stats = scan.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))  # one row
-    rows = scan.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term")
-    tf = rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", key, weight.alias("w"))
-    total = scored.join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("bm25"))
-    best = W.partitionBy("query_id").orderBy(F.desc("bm25"), key)
-    return total.withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k)
-
-
 def cosine(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
     """``query_id, key, cosine`` of every (query, vector) of equal length; unit vectors assumed.
 
@@ -141,16 +132,16 @@ def cosine_counts(vectors: DataFrame, queries: DataFrame, vec: str) -> DataFrame
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", "cosine").agg(F.sum("n").alias("n"))
 
 
-def _blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """The queries with a vector, at most ``QUERY_BATCH`` at a time; one empty block if there are none."""
-    every = queries.select("query_id", "qvec").where(F.col("qvec").isNotNull())
+def _blocks(queries: DataFrame, column: str = "qvec") -> Iterator[pd.DataFrame]:
+    """The queries that have a ``column``, at most ``QUERY_BATCH`` at a time; one empty block if there are none."""
+    every = queries.select("query_id", column).where(F.col(column).isNotNull())
     asked = every.limit(QUERY_BATCH + 1).toPandas()
     if len(asked) <= QUERY_BATCH:
         yield asked
         return
     rest = every.toLocalIterator()
     while block := list(islice(rest, QUERY_BATCH)):
-        yield pd.DataFrame(block, columns=["query_id", "qvec"])
+        yield pd.DataFrame(block, columns=["query_id", column])
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 50) -> DataFrame:

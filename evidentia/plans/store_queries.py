@@ -36,11 +36,21 @@ def ideas_with_leaves(spark: SparkSession, d: str) -> DataFrame:
     return graph.ideas_with_leaves(model.ideas(spark, d), model.leaves(spark, d, "id", "idea_id")).withColumn("leaves", F.array_join("leaves", ","))
 
 
-@query("SELECT id, source_id, idea_id, text FROM leaf WHERE idea_id = (SELECT min(idea_id) FROM thesis_out WHERE idea_id LIKE 'idea%') ORDER BY id LIMIT 20 OFFSET 0")
+@query("""WITH f AS (SELECT id, source_id, idea_id, text FROM leaf WHERE idea_id = (SELECT min(idea_id) FROM thesis_out WHERE idea_id LIKE 'idea%'))
+SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY id LIMIT 20 OFFSET 0""")
 def leaf_page(spark: SparkSession, d: str) -> DataFrame:
     rows = model.leaves(spark, d, "id", "source_id", "idea_id", "text")
-    first = table(spark, d, "thesis_out").where(F.col("idea_id").startswith("idea")).agg(F.min("idea_id").alias("idea_id"))
-    return graph.leaf_page(rows.join(first, "idea_id", "left_semi"), None, None, 0, 20)
+    wanted = table(spark, d, "thesis_out").where(F.col("idea_id").startswith("idea")).agg(F.min("idea_id")).first()[0]
+    return graph.leaf_page(rows, wanted, None, 0, 20)
+
+
+@query("""SELECT id, source_id, idea_id FROM leaf WHERE source_id = (SELECT min(source_id) FROM thesis_out) AND idea_id = (SELECT min(idea_id) FROM thesis_out WHERE source_id = (SELECT min(source_id) FROM thesis_out))""")
+def leaves_of_both(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of one source and one idea of it."""
+    rows = table(spark, d, "thesis_out")
+    source = rows.agg(F.min("source_id")).first()[0]
+    idea = rows.where(F.col("source_id") == source).agg(F.min("idea_id")).first()[0]
+    return graph.leaves_of(model.leaves(spark, d, "id", "source_id", "idea_id", "text", "created_at", "run_success"), idea, source).select("id", "source_id", "idea_id")
 
 
 @query("SELECT id, url, title FROM src ORDER BY TRY_CAST(nullif(trim(retrieved_at), '') AS TIMESTAMPTZ) NULLS LAST, id LIMIT 50 OFFSET 25")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.scratch import materialise, size_of
+
 RUNLOG = "program_id string, parent_ids string, generation string, iteration string, state string, metric_fitness string, mutation_model string, mutation_output string"
 STAGING = "source struct<id:string,url:string,title:string,type:string,version:string,retrieved_at:string>, section_id string, thesis struct<text:string,context:string,effect:string,locator:string,text_hash:string>, idea_fields struct<text:string,applicability_conditions:string,limitations:string,failure_modes:array<string>>, vector array<float>"
 MANIFEST = "id string, kind string, url string, title string, `group` string, skip boolean"
@@ -45,6 +51,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("skip", F.coalesce("skip", F.lit(False)) | F.coalesce(doi, F.lit(False))).withColumn("url", F.when(doi, F.concat(F.lit("https://doi.org/"), "url")).otherwise(F.col("url"))).withColumnRenamed("kind", "type")
 
 
+def parse_manifest(text: str) -> list[dict[str, str]]:
+    """Rows of a manifest in YAML: a list of flat maps of texts, with comments and quoted values."""
+    rows: list[dict[str, str]] = []
+    for number, line in enumerate(text.splitlines(), 1):
+        m = re.match(r"""^(?P<new>-\s+)?\s*(?P<key>[A-Za-z_]\w*):\s*(?:"(?P<d>(?:[^"\\]|\\.)*)"|'(?P<s>(?:[^']|'')*)'|(?P<plain>.*?))\s*(?:\s#.*)?$""", line)
+        if m is None:
+            if line.strip() and not line.lstrip().startswith("#"):
+                raise ValueError(f"line {number} of the manifest is not understood: {line.strip()[:80]!r}")
+            continue
+        if m["new"]:
+            rows.append({})
+        if not rows:
+            raise ValueError(f"line {number} of the manifest is outside the list")
+        value = json.loads(f'"{m["d"]}"') if m["d"] is not None else m["s"].replace("''", "'") if m["s"] is not None else m["plain"]
+        rows[-1][m["key"]] = value
+    return rows
+
+
+def manifest_lines(manifest: DataFrame) -> list[str]:
+    """The rows of a manifest as JSON lines in the order of their ids, so that the same rows are the same bytes. A manifest is a file of hundreds of rows."""
+    return [r.line for r in manifest.select("id", F.to_json(F.struct(*sorted(manifest.columns)), {"ignoreNullFields": "true"}).alias("line")).orderBy("id", "line").select("line").collect()]
+
+
 def group_counts(manifest: DataFrame, expected: dict[str, int]) -> DataFrame:
     """``group, n, expected`` where they differ."""
     want = manifest.sparkSession.createDataFrame(list(expected.items()), "`group` string, expected long")
@@ -65,6 +94,31 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataF
     return wanted.join(cache.select(key), key, "left_anti")
 
 
+def read_through(wanted: DataFrame, cache: str, fetch: Callable[[str], str], key: str = "key") -> DataFrame:
+    """``key, body`` of all wanted requests: from the cache (a folder of parquet), and what is not there fetched once and added to it.
+
+    A request that fails stays out of the cache and has a null body and the ``error``.
+    """
+    spark = wanted.sparkSession
+    row = f"{key} string, body string"
+    have = spark.createDataFrame([], row) if not size_of(spark, cache) else spark.read.schema(row).parquet(cache)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k in b[key]:
+                try:
+                    out.append((k, fetch(k), None))
+                except Exception as e:  # noqa: BLE001 - the request is made again next time
+                    out.append((k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "body", "error"])
+
+    asked = wanted.select(key).dropna().distinct()
+    got = materialise(cache_misses(asked, have, key).mapInPandas(run, row + ", error string"), "fetched")
+    got.where("error is null").select(key, "body").write.mode("append").parquet(cache)
+    return have.join(asked, key, "left_semi").withColumn("error", F.lit(None).cast("string")).unionByName(got)
+
+
 def first_answer(df: DataFrame, *columns: str) -> DataFrame:
     """``content`` from the first non-blank of the columns; ``reasons`` names those that were blank before it."""
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))

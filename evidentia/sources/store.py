@@ -213,3 +213,14 @@ def rebuild_index(leaves: DataFrame, dim: int = 384) -> DataFrame:
     refuse_any(leaves.where(F.col("text").isNull() | problem(F.col("vec"), dim).isNotNull()).select("id"), "a leaf cannot be indexed")
     refuse_any(leaves.groupBy("id").count().where("count > 1"), "a leaf is there twice")
     return leaves.select(F.col("id").alias("thesis_id"), "idea_id", "text", "vec")
+
+
+def all_leaves(leaves: DataFrame) -> DataFrame:
+    """Every leaf with its vector, in the order of ``seq``; one without text or vector means a broken store and raises."""
+    whole = lambda c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} is missing in leaf "), F.col("id"))).cast(leaves.schema[c].dataType)).alias(c)
+    return leaves.select("id", "idea_id", whole("text"), whole("vec"), "seq").orderBy("seq")
+
+
+def idea_view(ideas: DataFrame, vectors: bool = False) -> DataFrame:
+    """Ideas as they are answered: the vector on demand only."""
+    return ideas if vectors else ideas.drop("vec")

@@ -62,6 +62,17 @@ def test_cosine_topk_asks_in_blocks(spark, monkeypatch):
     assert len(whole) == 125 and _set(search.cosine_topk(v, q, "id", "vec", 5)) == whole
 
 
+def test_bm25_asks_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 30, n))
+    docs = spark.createDataFrame([(i, text(12)) for i in range(60)], "id int, text string").repartition(3)
+    q = spark.createDataFrame([(i, text(4)) for i in range(25)], "query_id int, query string").repartition(4)
+    whole = _set(search.bm25(docs, q, "id", "text", 5))
+    monkeypatch.setattr("evidentia.operators.search.QUERY_BATCH", 10)
+    monkeypatch.setattr("evidentia.operators.search.SCORE_CELLS", 2000)
+    assert len(whole) == 125 and _set(search.bm25(docs, q, "id", "text", 5)) == whole
+
+
 def test_pairs_of_large_groups_are_whole(spark, monkeypatch):
     monkeypatch.setattr("evidentia.operators.pairs.BLOCK", 30)
     x = np.random.default_rng(5).standard_normal((170, 6)).astype(np.float32)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.identity import with_sequence
 from evidentia.operators import ingest, vault
-from evidentia.operators.jobs import ATTEMPTS, advance
+from evidentia.operators.jobs import ATTEMPTS, Slot, advance
 from evidentia.operators.models import SentenceExtractor
 from evidentia.scratch import materialise, shared_dir, size_of
 from evidentia.sources import readers
-from evidentia.sources.store import Conflict, SnapshotStore, append_leaves, apply_patches, apply_split, index_insert, mark_dirty, rebuild_index, set_trust, split_problems, upsert
+from evidentia.sources.store import Conflict, SnapshotStore, all_leaves, append_leaves, apply_patches, apply_split, index_insert, mark_dirty, rebuild_index, set_trust, split_problems, upsert
+from evidentia.streaming.ingest import publish_stream
 from evidentia.streaming.jobs import job_stream, rate_stream
 
 
@@ -208,6 +209,57 @@ def test_job_stream_keeps_state_over_triggers(spark, tmp_path):
     assert ("a", "running", 1, 2, "net") in [tuple(r) for r in out] and ("b", "failed", 1, 1, "bad") in [tuple(r) for r in out]
 
 
+def test_batches_of_a_stream_are_published_once(spark, tmp_path):
+    folder = tmp_path / "staged"
+    folder.mkdir()
+    for n in range(3):
+        spark.createDataFrame([(n, f"t{n}")], "id int, text string").coalesce(1).write.json(str(folder / f"b{n}"))
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    read = lambda: spark.readStream.schema("id int, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(folder))
+    for checkpoint in ("a", "b"):  # the second run begins anew and must add nothing
+        q = publish_stream(read(), store, "rows", str(tmp_path / checkpoint), lambda df: df.withColumn("n", F.length("text")))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert sorted(tuple(r) for r in store.read("rows").collect()) == [(0, "t0", 2), (1, "t1", 2), (2, "t2", 2)]
+    slot = Slot()
+    with slot.held("phase"), pytest.raises(RuntimeError, match="phase"), slot.held("other"):
+        pass
+    with slot.held("other"):
+        assert slot.holder == "other"
+
+
+def test_requests_are_answered_once(spark, tmp_path):
+    cache, calls = f"file://{tmp_path}/cache", str(tmp_path / "calls")
+
+    def fetch(key):
+        with open(calls, "a") as f:
+            f.write(key)
+        if key == "x":
+            raise OSError("gone")
+        return key * 2
+
+    wanted = spark.createDataFrame([("a",), ("a",), ("x",), (None,)], "key string")
+    for _ in range(2):
+        assert {(r.key, r.body, r.error) for r in readers.read_through(wanted, cache, fetch).collect()} == {("a", "aa", None), ("x", None, "OSError: gone")}
+    assert sorted(open(calls).read()) == ["a", "x", "x"]
+
+
+def test_manifests(spark):
+    text = "# corpus\n- id: a\n  kind: paper  # note\n  url: 'it''s'\n- id: \"b \\\"q\\\"\"\n  url: http://x/#y\n"
+    assert readers.parse_manifest(text) == [{"id": "a", "kind": "paper", "url": "it's"}, {"id": 'b "q"', "url": "http://x/#y"}]
+    with pytest.raises(ValueError):
+        readers.parse_manifest("- id: a\nnonsense")
+    df = spark.createDataFrame([("b", None), ("a", "u")], "id string, url string")
+    assert readers.manifest_lines(df) == ['{"id":"a","url":"u"}', '{"id":"b"}'] == readers.manifest_lines(df.repartition(3))
+
+
+def test_whole_leaves(spark):
+    df = spark.createDataFrame([("b", "i", "t", [1.0], 2), ("a", "i", "u", [2.0], 1)], "id string, idea_id string, text string, vec array<float>, seq int")
+    assert [r.id for r in all_leaves(df).collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="text is missing"):
+        all_leaves(df.withColumn("text", F.lit(None).cast("string"))).collect()
+
+
 def test_rate_stream(spark, tmp_path):
     t = datetime(2024, 1, 1)
     batches = [[("c", t + timedelta(seconds=s)) for s in (0, 1)], [("c", t + timedelta(seconds=2)), ("c", t + timedelta(seconds=62))]]
