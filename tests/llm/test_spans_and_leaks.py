@@ -55,7 +55,7 @@ def _found(df):
 
 
 def test_spans_equal_brute_force(spark):
-    for seed, length, gram in ((1, 10, 4), (2, 16, 16), (3, 40, 16)):
+    for seed, length, gram in ((2, 16, 16), (3, 40, 16)):
         docs = _corpus(seed)
         df = _frame(spark, docs)
         index = SpanIndex(spark, length, gram)
