@@ -64,7 +64,7 @@ _SWEEP = """WITH x AS (SELECT id, source_id, idea_id, created_at, run_success IS
 shown AS (SELECT idea_id, id FROM (SELECT DISTINCT idea_id, id, unmeasured, created_at FROM x) QUALIFY row_number() OVER (PARTITION BY idea_id ORDER BY unmeasured, coalesce(created_at, ''), id) <= 16),
 told AS (SELECT idea_id AS id, count(*) AS n FROM shown JOIN (SELECT DISTINCT id, text FROM leaf) USING (id) GROUP BY 1),
 swept AS (SELECT i.id, row_number() OVER (ORDER BY created_at NULLS FIRST, i.id) <= 50 AS now, n FROM idea i LEFT JOIN told ON told.id = i.id WHERE dirty),
-judged_now AS (SELECT id, CASE WHEN now THEN coalesce(least(n, 10), 0) / 10.0::DOUBLE END AS trust, CASE WHEN now THEN 'scored' ELSE 'deferred' END AS outcome FROM swept)
+judged_now AS (SELECT id, CASE WHEN now THEN least(coalesce(n, 0), 10) / 10.0::DOUBLE END AS trust, CASE WHEN now THEN 'scored' ELSE 'deferred' END AS outcome FROM swept)
 """
 
 
