@@ -60,6 +60,22 @@ def test_addresses_of_articles(spark):
     assert set(_col(spark, bad, web.url_refusal)) == {"not_article"} and set(_col(spark, old, web.url_refusal)) == {"old_style"}
 
 
+def test_first_matching_section(spark):
+    text = "# Abstract\nshort\n   ## Limitations of it\nnone known\n## Limits\nlater"
+    df = spark.createDataFrame([(text,), (None,)], "t string").select(sections.markdown_sections_udf("t").alias("s"))
+    got = [tuple(r) for r in df.select(sections.first_body(F.col("s"), "limit"), sections.first_body(F.col("s"), "abstract"), sections.first_body(F.col("s"), "method")).collect()]
+    assert got == [("none known", "short", ""), ("", "", "")]
+
+
+def test_pages_of_discovered_addresses(spark):
+    from evidentia.operators.research import extracted
+
+    wanted = spark.createDataFrame([("http://Ex.org/a/",), ("http://ex.org/a",), ("http://ex.org/b",)], "url string")
+    pages = spark.createDataFrame([("http://ex.org/a", "text"), ("http://ex.org/b", " "), ("http://ex.org/c", "x")], "url string, content string")
+    assert [r.content for r in extracted(wanted, pages).collect()] == ["text"]
+    assert _col(spark, ["<p>" + "ab " * 900 + "</p>"], web.abstract_of) == [("ab " * 400)]
+
+
 def test_what_a_text_still_says(spark):
     names = F.array(F.lit("ImageNet"), F.lit("Adam"))
     got = _col(spark, ["on imagenet up 70 by helper_fn", "clean"], lambda c: leakage.violations(c, F.lit("-70 %"), names, F.array(F.lit("helper_fn"), F.lit("up"))))

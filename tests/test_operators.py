@@ -238,7 +238,7 @@ def test_trust_sweep_fails_closed(spark):
     ideas = spark.createDataFrame([("a", "x", True, "1"), ("b", "y", True, "2"), ("c", "z", False, "3"), ("d", "w", True, "4")], "id string, text string, dirty boolean, created_at string")
     leaves = spark.createDataFrame([("a", 1, "l"), ("a", 2, "m")], "idea_id string, place int, text string")
     assert _set(trust.sweep(ideas, leaves, CountingJudge(), 2)) == {("a", 0.2, "scored"), ("b", 0.0, "scored"), ("d", None, "deferred")}
-    assert _set(trust.summary(trust.sweep(ideas, leaves, Broken(), 2))) == {(1, 1, 1, 0.0)}
+    assert _set(trust.summary(trust.sweep(ideas, leaves, Broken(), 2))) == {(3, 1, 1, 1, 0.0)}
 
 
 def test_audits(spark):
