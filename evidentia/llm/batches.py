@@ -23,7 +23,7 @@ split: its stored rows are spread over parts of at most ``PART_ROWS`` rows, and
 
 Within a batch the order counts: a line is dropped if an accepted text or an earlier accepted line
 is near it. Exact copies keep their first line. Of the rest, the first ``CHUNK`` lines of every
-source are settled in one task each, in order, against the accepted ones among them only; where a
+source are settled in one task, in order, against the accepted ones among them only; where a
 source has more, its other lines are held against what was accepted and the next ``CHUNK`` follow.
 So no pairs of a cluster are listed, a task holds at most ``CHUNK`` lines, and there are as many
 rounds as the largest source has chunks that survive.
@@ -39,7 +39,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.functions.words import words
+from evidentia.operators.jobs import in_order
 from evidentia.scratch import FAN, bounded, materialise, release
 
 #: Size range from which texts have the larger table of counts.
@@ -183,43 +183,37 @@ class PivotTable:
         return _near(lines, self.rows([r.b for r in named]), self.parts)
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one source that an earlier line of it, not dropped itself, is near."""
-    order = sorted(range(len(pdf)), key=lambda i: (pdf.b.iloc[i], pdf.l.iloc[i], pdf.k.iloc[i]))
-    runs, size, level = pdf.runs.to_list(), pdf["size"].to_numpy(np.int64), pdf["range"].to_numpy()
-    kept: dict[int, list] = {}  # per size range: lines, their sizes and pivot counts, how many
-    sets: dict[int, set] = {}
-    out = []
-    for i in order:
-        near, mine = False, None
-        for v in range(level[i] - 1, level[i] + 2):
+def _settle(rows: Iterator[tuple], _: tuple) -> Iterator[tuple]:
+    """Of the lines of one source, in order, those that an earlier one, not dropped itself, is near. A row: source, b, l, k, runs, size, range."""
+    kept: dict[int, list] = {}  # per size range: sets of runs, their sizes and pivot counts, how many
+    for _, b, l, k, runs, size, level in rows:  # noqa: E741 - names of the line's parts
+        runs, mine, near = np.asarray(runs), None, False
+        for v in range(level - 1, level + 2):
             if v not in kept:
                 continue
-            who, sizes, table, n = kept[v]
-            both = sizes[:n] + size[i]
-            left = np.flatnonzero(3 * np.abs(sizes[:n] - size[i]) <= both)
+            sets, sizes, table, n = kept[v]
+            both = sizes[:n] + size
+            left = np.flatnonzero(3 * np.abs(sizes[:n] - size) <= both)
             if len(left):
-                apart = np.bitwise_count(table[left] ^ counts_in_unary(runs[i], v)).sum(1, dtype=np.int64)
+                apart = np.bitwise_count(table[left] ^ counts_in_unary(runs, v)).sum(1, dtype=np.int64)
                 left = left[3 * apart <= both[left]]
             for j in left.tolist():
-                mine = set(runs[i].tolist()) if mine is None else mine
-                if 3 * len(mine & sets[who[j]]) >= both[j]:
+                mine = set(runs.tolist()) if mine is None else mine
+                if 3 * len(mine & sets[j]) >= both[j]:
                     near = True
                     break
             if near:
                 break
         if near:
-            out.append(i)
+            yield b, l, k
             continue
-        own = counts_in_unary(runs[i], level[i])
-        who, sizes, table, n = kept.get(level[i]) or [[], np.zeros(16, np.int64), np.zeros((16, len(own)), np.uint64), 0]
+        own = counts_in_unary(runs, level)
+        sets, sizes, table, n = kept.get(level) or [[], np.zeros(4, np.int64), np.zeros((4, len(own)), np.uint64), 0]
         if n == len(sizes):
             sizes, table = np.concatenate([sizes, np.zeros_like(sizes)]), np.concatenate([table, np.zeros_like(table)])
-        who.append(i)
-        sizes[n], table[n] = size[i], own
-        kept[level[i]] = [who, sizes, table, n + 1]
-        sets[i] = set(runs[i].tolist()) if mine is None else mine
-    return pdf.iloc[out][["b", "l", "k"]]
+        sets.append(set(runs.tolist()) if mine is None else mine)
+        sizes[n], table[n] = size, own
+        kept[level] = [sets, sizes, table, n + 1]
 
 
 def admit(table: PivotTable, lines: DataFrame, key: str = "id", source: str = "source_id", text: str = "text", batch: str = "batch_no", line: str = "line_no") -> DataFrame:
@@ -239,7 +233,7 @@ def admit(table: PivotTable, lines: DataFrame, key: str = "id", source: str = "s
         most = fresh.groupBy("source").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         now = fresh if most <= CHUNK else materialise(fresh.withColumn("at", at).where(F.col("at") <= CHUNK).drop("at"), "batch-chunk")
         flat = now.select("source", "line.*", "runs", "size", "range")
-        dropped = materialise(flat.groupBy("source").applyInPandas(_settle, kinds).select(F.struct("b", "l", "k").alias("line")), "batch-out")
+        dropped = materialise(in_order(flat, ["source"], ["b", "l", "k"], _settle, kinds).select(F.struct("b", "l", "k").alias("line")), "batch-out")
         gone.append(dropped)
         kept = _with_fine(now.join(dropped, "line", "left_anti").select("source", *shape))
         table.append_rows(kept)
