@@ -98,9 +98,7 @@ def cosine_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT query_id, round(quantile_cont(cosine, 0.5), 4) AS median, round(quantile_cont(cosine, 0.9), 4) AS p90, round(quantile_cont(cosine, 0.99), 4) AS p99, round(max(cosine), 4) AS max FROM cos GROUP BY 1""")
 def cosine_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    counts = search.cosine_counts(model.unit_vectors(spark, d), _queries(spark, d), "vec")
-    q = F.percentile("cosine", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
-    row = counts.groupBy("query_id").agg(q.alias("q"), F.max("cosine").alias("top"))
+    row = search.cosine_quantiles(model.unit_vectors(spark, d), _queries(spark, d), "vec", (0.5, 0.9, 0.99))
     return row.select("query_id", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("median", "p90", "p99"))), F.round("top", 4).alias("max"))
 
 

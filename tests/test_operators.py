@@ -62,6 +62,46 @@ def test_cosine_topk_asks_in_blocks(spark, monkeypatch):
     assert len(whole) == 125 and _set(search.cosine_topk(v, q, "id", "vec", 5)) == whole
 
 
+def test_a_task_passes_on_its_best_only(spark, monkeypatch):
+    monkeypatch.setattr("evidentia.operators.search.SCORE_CELLS", 400)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 30, 8)) for _ in range(300)]
+    vecs = rng.standard_normal((300, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, t, v.tolist()) for i, (t, v) in enumerate(zip(texts, vecs, strict=True))], "id long, text string, vec array<float>").repartition(1)
+    q = rows.where("id < 25").selectExpr("id as query_id", "text as query", "vec as qvec")
+    some = next(search._blocks(q.select("query_id", search.F.array_distinct(search.terms(search.F.col("query"))).alias("t")), "t"))
+    assert search._lexical(rows, q, some, "id", "text", 5).count() == 125
+    assert search._nearest(rows, q, next(search._blocks(q)), "id", "vec", 5).count() == 125
+    near = (vecs[:25].astype(float) @ vecs.astype(float).T).round(6)
+    want = {(i, j, n) for i in range(25) for n, j in enumerate(np.lexsort((np.arange(300), -near[i]))[:5], 1)}
+    assert {(r.query_id, r.id, r.vec_rank) for r in search.cosine_topk(rows, q, "id", "vec", 5).collect()} == want
+
+
+def test_bm25_is_the_same_with_and_without_common_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"all w{i % 7} v{i % 11} v{i % 11} u{i % 3}") for i in range(200)], "id long, text string")
+    q = docs.where("id < 20").selectExpr("id as query_id", "text as query")
+    got = []
+    for share in (0.0, 2.0):
+        monkeypatch.setattr("evidentia.operators.search.COMMON", share)
+        got.append({(r.query_id, r.id, r.bm25, r.bm25_rank) for r in search.bm25(docs, q, "id", "text", 9).collect()})
+    assert got[0] == got[1] and len(got[0]) == 180
+
+
+@pytest.mark.parametrize("classes", [4, 2048])
+def test_quantiles_of_cosines_are_exact(spark, monkeypatch, classes):
+    for name, value in (("CLASSES", classes), ("SCORE_CELLS", 400), ("PACK", 8), ("QUERY_BATCH", 20)):
+        monkeypatch.setattr(f"evidentia.operators.search.{name}", value)
+    x = np.random.default_rng(6).standard_normal((331, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[50:90] = x[50]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(3)
+    q = rows.where("id < 30").selectExpr("id as query_id", "vec as qvec")
+    got = {r.query_id: (*r.q, r.top) for r in search.cosine_quantiles(rows, q, "vec", (0.0, 0.5, 0.99)).collect()}
+    near = (x[:30].astype(float) @ x.astype(float).T).round(6)
+    assert sorted(got) == list(range(30))
+    assert np.allclose([got[i] for i in range(30)], np.c_[np.quantile(near, (0.0, 0.5, 0.99), axis=1).T, near.max(1)], atol=1e-9)
+
+
 def test_bm25_asks_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 30, n))
