@@ -2,26 +2,28 @@
 
 Groups of up to ``SMALL`` rows are joined with themselves. Larger ones are cut into blocks of some
 ``BLOCK`` rows by a hash of the key, and each two blocks meet in one task, once, with one matrix
-product: the memory of a task is bounded by ``BLOCK``, and no pair is left out.
+product: the memory of a task is bounded by ``BLOCK``, and no pair is left out. Where pairs are listed, a
+group has ``PARTS`` blocks, or more once those have ``WIDE`` times ``BLOCK`` rows, which bounds the copies of its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.vectors import dot
 
-SMALL, BLOCK = 64, 1024
+SMALL, BLOCK, PARTS, WIDE = 64, 1024, 10, 16
 
 PAIRS = "a long, b long, cosine double"
 
 
-def blocks(rows: DataFrame, key: str, n: str, size: int) -> DataFrame:
+def blocks(rows: DataFrame, key: str, n: str, size: int | Column) -> DataFrame:
     """``rows`` with ``lo``, ``hi`` and ``own``, the row's block: each row once for every block that its own meets. ``n``: rows of its group."""
     count = F.ceil(F.col(n) / size).cast("int")
     cut = rows.withColumn("own", F.pmod(F.xxhash64(key), count).cast("int"))
@@ -62,13 +64,27 @@ def within(rows: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """``group, a, b, cosine`` of every two rows of a group, ``a < b``; keys are long, vectors of unit length and one dimension."""
     rows = _sized(rows.select(group, key, vec), group, key)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, near, counts = _met(pdf, key, vec)
-        i, j = np.nonzero(counts)
-        a, b = x[key].to_numpy()[i], y[key].to_numpy()[j]
-        return pd.DataFrame({group: pdf[group].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": near[i, j]})
-
-    large = _in_blocks(rows, group, key, run, f"{group} {rows.schema[group].dataType.simpleString()}, {PAIRS}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = pa.Table.from_batches(batches).sort_by(key)
+        ids, own = met[key].to_numpy(), met["own"].to_numpy()
+        lo, hi = met["lo"][0].as_py(), met["hi"][0].as_py()
+        v = np.stack(met[vec].to_numpy()).astype(np.float64)
+        xs, ys = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        for i in range(0, len(xs), BLOCK):
+            for j in range(i if lo == hi else 0, len(ys), BLOCK):
+                x, y = xs[i : i + BLOCK], ys[j : j + BLOCK]
+                near = (v[x] @ v[y].T).round(6) + 0.0
+                a, b = np.repeat(ids[x], len(y)), np.tile(ids[y], len(x))
+                near = near.ravel()
+                if lo == hi and i == j:
+                    once = a < b
+                    a, b, near = a[once], b[once], near[once]
+                yield pa.RecordBatch.from_arrays([pa.repeat(met[group][0], len(a)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near)], names=[group, "a", "b", "cosine"])
+
+    size = F.least(F.greatest(F.ceil(F.col("n") / PARTS), F.lit(BLOCK)), F.lit(WIDE * BLOCK))
+    # Without a shuffle of their own all blocks of a group would meet in one task.
+    cut = blocks(rows.where(F.col("n") > SMALL), key, "n", size).repartition(group, "lo", "hi").groupBy(group, "lo", "hi")
+    large = cut.applyInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, {PAIRS}")
     return _joined(rows, group, key, vec).select(group, F.col(key).alias("a"), "b", "cosine").unionByName(large)
 
 

@@ -127,6 +127,20 @@ def test_pairs_of_large_groups_are_whole(spark, monkeypatch):
     assert tuple(by) == (equal, len(want) - equal)
 
 
+def test_blocks_of_one_idea_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr("evidentia.operators.pairs.BLOCK", 30)
+    x = np.random.default_rng(8).standard_normal((700, 4)).astype(np.float32)
+    df = spark.createDataFrame([("hot", i, v.tolist()) for i, v in enumerate(x)], "idea string, id long, vec array<float>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = pairs.within(df, "idea", "id", "vec").withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 700 * 699 // 2 == len(found[["a", "b"]].drop_duplicates()) and (found.a < found.b).all()
+    assert found.task.nunique() > 1
+    assert np.allclose(found.cosine, np.einsum("ij,ij->i", x[found.a].astype(float), x[found.b].astype(float)), atol=6e-7)
+
+
 def test_queries_of_pairs_reach_ideas_over_64_leaves(spark, tmp_path):
     """Against brute force; the SQL of these two queries stops at 64 leaves an idea."""
     from evidentia.plans.catalogue import QUERIES
