@@ -1,18 +1,20 @@
 """Most similar vectors for every vector: inverted lists, product-quantised residuals, exact reranking.
 
 Fit, on a sample of at most ``FIT_ROWS`` rows: coarse centroids, and for the residuals ``PARTS``
-codebooks of ``CODES`` entries. There is one centroid per ``LIST_ROWS`` rows up to ``MAX_LISTS``, and
-beyond that one per ``BLOCK_ROWS / 2`` rows up to one per four rows of the sample. Neighbouring
+codebooks of ``CODES`` entries. There is one centroid per ``LIST_ROWS`` rows up to ``MAX_LISTS``,
+beyond that one per ``4 * LIST_ROWS`` rows up to one per eight rows of the sample, and then one per
+``BLOCK_ROWS / 2`` rows up to one per four. Neighbouring
 lists are put together into blocks of about ``BLOCK_ROWS`` rows by bisection of the centroids; a
 list larger than a block is spread over several. What is broadcast is bounded by these constants.
 
 Index: every row goes to its own list's block, once, with its code. A list of more than twice
 ``LIST_ROWS`` rows is cut there into sublists by k-means over its own rows, so that what a query
-scans does not grow with the table. Search: every row is also a query for its ``PROBES`` nearest
-lists; those in its own block cost no transfer, and a copy of the vector travels only to blocks
-that hold one of its ``FAR`` nearest lists. A block to which many queries will travel, by the
+scans does not grow with the table. Search: every row is also a query for the lists whose centroids
+are nearly as near as the nearest one (``MARGIN``: by how much rows of one group differ in that), at least
+``SURE`` and at most ``PROBES``; those in its own block cost no transfer, and a copy of the vector, in half precision where
+that loses nothing, travels to the nearest ``FAR`` blocks that hold such a list. A block to which many queries will travel, by the
 sample, is written several times, and each of its copies takes a share of them. In a block, a query
-scans the ``SCAN`` nearest sublists of the lists it probes: asymmetric distance tables (query parts
+scans the ``SCAN`` nearest sublists of the lists it probes and all that are nearly as near as the nearest: asymmetric distance tables (query parts
 against codebooks) score the codes, the best ``RERANK`` (ties by smaller key) are scored again with
 the exact cosine, and the best k of all blocks are kept.
 
@@ -43,22 +45,28 @@ from pyspark.sql import functions as F
 from evidentia.functions.words import mix
 from evidentia.scratch import materialise, release
 
-#: Rows the index is fitted on, at most; every row is indexed. ``FIRST_ROWS`` of them suffice up to ``MAX_LISTS`` lists.
+#: Rows the index is fitted on, at most; every row is indexed. ``FIRST_ROWS`` of them suffice up to 1250 lists.
 FIT_ROWS, FIRST_ROWS = 65_536, 20_000
-#: Rows per list aimed at, lists of that size at most; sublists a query scans in a block.
+#: Rows per list aimed at, lists of that size at most; sublists a query scans in a block, at least.
 LIST_ROWS, MAX_LISTS, SCAN = 200, 2048, 8
 #: Rows per block, and visiting queries per copy of a block.
 BLOCK_ROWS, VISITS = 8192, 32_768
-#: Lists searched per query; nearest lists searched outside the query's own block too.
-PROBES, FAR = 4, 2
+#: Most lists searched per query, nearest lists searched in any case, and if in the query's blocks; most blocks a query is sent to.
+PROBES, SURE, NEAREST, FAR = 32, 2, 4, 6
+#: A list or sublist is nearly as near as the nearest if it is less near by this at most, over the root of the dimension.
+MARGIN = 1.0
 #: Parts a residual is cut into, entries of each part's codebook.
 PARTS, CODES = 96, 64
 #: Candidates scored exactly per query and block.
 RERANK = 128
 
 
+def _wanted_lists(rows: int) -> int:
+    return min(rows // LIST_ROWS, max(MAX_LISTS, min(rows // (4 * LIST_ROWS), FIT_ROWS // 8), 2 * rows // BLOCK_ROWS))
+
+
 def _sample_rows(rows: int) -> int:
-    return min(FIT_ROWS, max(FIRST_ROWS, 4 * (2 * rows // BLOCK_ROWS)))
+    return min(FIT_ROWS, max(FIRST_ROWS, 16 * _wanted_lists(rows)))
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
@@ -66,7 +74,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: b
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         half = 0 if unit else 0.5 * (c * c).sum(1)
-        near = np.concatenate([(x[lo : lo + 4096] @ c.T - half).argmax(1) for lo in range(0, len(x), 4096)])
+        near = np.concatenate([(x[lo : lo + 1024] @ c.T - half).argmax(1) for lo in range(0, len(x), 1024)])
         order = np.argsort(near, kind="stable")
         at, first = np.unique(near[order], return_index=True)
         new = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
@@ -106,10 +114,10 @@ class VectorIndex:
     def __init__(self, sample: np.ndarray, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         unit = (sample / np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-        wanted = min(rows // LIST_ROWS, max(MAX_LISTS, 2 * rows // BLOCK_ROWS))
-        lists = int(np.clip(wanted, 1, len(unit) if rows <= MAX_LISTS * LIST_ROWS else max(1, len(unit) // 4)))
+        lists = int(np.clip(_wanted_lists(rows), 1, len(unit) if rows <= MAX_LISTS * LIST_ROWS else max(1, len(unit) // 4)))
         self.centroids = _means(unit, lists, 8 if lists <= MAX_LISTS else 4, rng, True)
-        near = np.concatenate([self.probes(unit[lo : lo + 2048]) for lo in range(0, len(unit), 2048)])
+        self.margin = MARGIN / np.sqrt(unit.shape[1])
+        near, close = (np.concatenate(z) for z in zip(*(self.probes(unit[lo : lo + 512]) for lo in range(0, len(unit), 512)), strict=True))
         home = near[:, 0]
         weight = np.bincount(home, minlength=lists) * (rows / len(unit))
         self.block = _blocks(self.centroids, weight, BLOCK_ROWS, rng)
@@ -119,16 +127,17 @@ class VectorIndex:
         blocks = int(self.block.max()) + 1 + int((self.spread - 1).sum())
         # Queries that will visit each block, by the sample; a block of many is written in several copies.
         visits = np.zeros(blocks)
-        for one in range(1, min(FAR, near.shape[1])):
-            away = self.block[near[:, one]] != self.block[home]
-            visits += np.bincount(self.block[near[away, one]], minlength=blocks) * (rows / len(unit))
+        for probed, n in zip(near, close, strict=True):
+            for b in [*dict.fromkeys(self.block[probed[:n]].tolist())][1:FAR]:
+                visits[b] += rows / len(unit)
         self.copies = np.maximum(1, np.ceil(visits / VISITS)).astype(np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.copies)[:-1]])
         #: Copies of blocks in all; each is one task of the search.
         self.blocks = int(self.copies.sum())
         self.step = -(-unit.shape[1] // PARTS)
-        rest = self._parts(unit - self.centroids[home])
-        codes = min(CODES, len(unit))
+        # Residuals of so many rows suffice for the codebooks.
+        rest = self._parts(unit[:FIRST_ROWS] - self.centroids[home[:FIRST_ROWS]])
+        codes = min(CODES, rest.shape[1])
         self.books = np.stack([_means(np.ascontiguousarray(p), codes, 5, rng, False) for p in rest])
 
     def _parts(self, x: np.ndarray) -> np.ndarray:
@@ -136,12 +145,14 @@ class VectorIndex:
         x = np.pad(x, ((0, 0), (0, self.step * PARTS - x.shape[1])))
         return np.ascontiguousarray(x.reshape(len(x), PARTS, self.step).transpose(1, 0, 2))
 
-    def probes(self, unit: np.ndarray) -> np.ndarray:
-        """The nearest lists of each row, nearest first."""
+    def probes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest lists of each row, nearest first, and how many of them are nearly as near as the first or searched in any case."""
         sims = unit @ self.centroids.T
         k = min(PROBES, sims.shape[1])
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+        sims = np.take_along_axis(sims, top, 1)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(top, order, 1), np.maximum((sims >= sims.max(1, keepdims=True) - self.margin).sum(1), min(SURE, k))
 
     def encode(self, unit: np.ndarray, home: np.ndarray) -> np.ndarray:
         rest = self._parts(unit - self.centroids[home])
@@ -172,6 +183,22 @@ def _proper(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(good), x[good]
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each vector in half precision if that is the same vector, else in single."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    same = (half == x).all(1)
+    return [h.tobytes() if s else v.tobytes() for h, v, s in zip(half, x, same, strict=True)]
+
+
+def _unpacked(raw: list[bytes], dim: int) -> np.ndarray:
+    half = np.array([len(v) == 2 * dim for v in raw], bool)
+    x = np.empty((len(raw), dim), np.float32)
+    for kind, which in ((np.float16, half), (np.float32, ~half)):
+        x[which] = np.frombuffer(b"".join([raw[i] for i in np.flatnonzero(which)]), kind).reshape(-1, dim)
+    return x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -224,7 +251,7 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                     continue
                 ids = part.column(0).to_numpy()[good]
                 unit = _unit(x)
-                lists = index.probes(unit)
+                lists, close = index.probes(unit)
                 home = lists[:, 0]
                 salt = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
                 at = index.places(home, salt)
@@ -232,9 +259,12 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                 out: list[tuple] = []
                 for i in range(len(ids)):
                     wanted: dict[int, list[int]] = {int(at[i]): []}
-                    for n, one in enumerate(lists[i].tolist()):
+                    met: set[int] = set()  # blocks of the lists so far; the parts of a spread one count once
+                    for n, one in enumerate(lists[i, : max(NEAREST, close[i])].tolist()):
+                        if n < close[i] and len(met) < FAR:
+                            met.add(int(index.block[one]))
                         for b in index.all_places(one) if index.spread[one] > 1 else (int(index.block[one]),):
-                            if b in wanted or n < FAR:
+                            if b in wanted or int(index.block[one]) in met:
                                 wanted.setdefault(b, []).append(one)
                     code = codes[i].tobytes()
                     for b, probed in wanted.items():
@@ -246,9 +276,8 @@ def neighbours(df: DataFrame, key: str = "row_id", vec: str = "vec", dim: int =
                         else:
                             out.append((int(index.base[b]) + mine, ids[i], -1, probed, i, None))
                 block, key_, own_list, probed, src, code = zip(*out, strict=True)
-                raw = np.ascontiguousarray(x[list(src)])
-                bounds = pa.py_buffer((np.arange(len(raw) + 1, dtype=np.int64) * dim * 4).astype(np.int32))
-                vecs = pa.Array.from_buffers(pa.binary(), len(raw), [None, bounds, pa.py_buffer(raw)])
+                packed = _packed(x)
+                vecs = pa.array([packed[i] for i in src], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key_, pa.int64()), pa.array(own_list, pa.int32()), pa.array(probed, pa.list_(pa.int32())), vecs, pa.array(code, pa.binary())], names=["block", "id", "list", "probes", "vec", "code"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +316,8 @@ def _sublists(unit: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return np.split(rows[order], np.flatnonzero(np.diff(near[order])) + 1)
 
 
-def _asked(unit: np.ndarray, heads: np.ndarray, owner: np.ndarray, probes: list[list[int]]) -> dict[int, list[tuple[int, int]]]:
-    """Per sublist the (query, slot) that scan it: the ``SCAN`` nearest sublists of the lists a query probes."""
+def _asked(unit: np.ndarray, heads: np.ndarray, owner: np.ndarray, probes: list[list[int]], margin: float) -> dict[int, list[tuple[int, int]]]:
+    """Per sublist the (query, slot) that scan it: the ``SCAN`` nearest sublists of the lists a query probes, and those nearly as near as the nearest."""
     of_list: dict[int, list[int]] = {}
     for n, one in enumerate(owner.tolist()):
         of_list.setdefault(one, []).append(n)
@@ -297,7 +326,8 @@ def _asked(unit: np.ndarray, heads: np.ndarray, owner: np.ndarray, probes: list[
         subs = [n for one in wanted for n in of_list.get(one, ())]
         if len(subs) > SCAN:
             near = heads[subs] @ unit[q]
-            subs = [subs[i] for i in np.argpartition(-near, SCAN - 1)[:SCAN]]
+            last = min(np.partition(near, -SCAN)[-SCAN], near.max() - margin)
+            subs = [subs[i] for i in np.flatnonzero(near >= last)]
         for slot, n in enumerate(subs):
             asks.setdefault(n, []).append((q, slot))
     return asks
@@ -319,7 +349,7 @@ def _keep(sums: np.ndarray, rows: np.ndarray, most: int, order: np.ndarray) -> t
 def _search_block(index: VectorIndex, table: pa.Table, dim: int, k: int) -> pa.Table:
     """Neighbours, inside one block, of all queries that came to it."""
     raw = table["vec"].combine_chunks() if isinstance(table["vec"], pa.ChunkedArray) else table["vec"]
-    x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, dim)
+    x = _unpacked(raw.to_pylist(), dim)
     ids, lists = table["id"].to_numpy(), table["list"].to_numpy()
     unit = _unit(x)
     kept = np.flatnonzero(lists >= 0)
@@ -329,8 +359,9 @@ def _search_block(index: VectorIndex, table: pa.Table, dim: int, k: int) -> pa.T
     owner = np.array([lists[s[0]] for s in subs], np.int64)
     many = np.bincount(owner, minlength=1)[owner] > 1 if len(subs) else np.zeros(0, bool)
     heads = np.stack([unit[s].mean(0) if m else index.centroids[o] for s, m, o in zip(subs, many, owner, strict=True)]) if subs else np.zeros((0, dim))
+    heads = heads / np.maximum(np.linalg.norm(heads, axis=1, keepdims=True), 1e-12)
     probes = table["probes"].to_pylist()
-    asks = _asked(unit, heads, owner, probes)
+    asks = _asked(unit, heads, owner, probes, index.margin)
     slots = 1 + max((slot for queries in asks.values() for _, slot in queries), default=-1)
     if not slots:
         return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})

@@ -1,6 +1,6 @@
 import numpy as np
 
-from evidentia.llm.neighbours import VectorIndex, neighbour_pairs, neighbours
+from evidentia.llm.neighbours import VectorIndex, _packed, _unpacked, neighbour_pairs, neighbours
 
 
 def _data(seed, n, dim):
@@ -70,6 +70,29 @@ def test_recall_beyond_the_largest_number_of_lists(spark, monkeypatch):
     assert sum(len(got[i] & set(w)) for i, w in want.items()) / (5 * n) > 0.9
 
 
+def test_recall_with_many_more_groups_than_lists(spark, monkeypatch):
+    # The groups of a large table: the members of one lie in several lists, and several blocks are asked.
+    for name, value in (("LIST_ROWS", 20), ("MAX_LISTS", 8), ("BLOCK_ROWS", 120), ("FIRST_ROWS", 200)):
+        monkeypatch.setattr(f"evidentia.llm.neighbours.{name}", value)
+    rng = np.random.default_rng(8)
+    groups, each, dim = 300, 6, 96
+    x = np.repeat(rng.standard_normal((groups, dim)), each, 0) + 0.45 * rng.standard_normal((groups * each, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<float>")
+    got = {}
+    for r in neighbours(df, dim=dim).collect():
+        got.setdefault(r.row_id, set()).add(r.other)
+    want = _brute(np.arange(len(x)), x.astype(np.float32), 5)
+    assert sum(len(got[i] & set(w)) for i, w in want.items()) / (5 * len(x)) > 0.93
+
+
+def test_vectors_travel_whole():
+    x = np.random.default_rng(9).standard_normal((6, 5)).astype(np.float32)
+    x[:3] = x[:3].astype(np.float16)
+    x[5] = 1e9
+    packed = _packed(x)
+    assert [len(v) for v in packed] == [10] * 3 + [20] * 3 and (_unpacked(packed, 5) == x).all()
+
+
 def test_ties_of_codes_go_to_smaller_keys(spark):
     # One direction at many lengths: all codes tie, and more rows tie than are scored again.
     rng = np.random.default_rng(5)
