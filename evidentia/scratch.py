@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 #: Pieces of one level that a log merges into one of the next.
 FAN = 8
 
+#: Whether Spark deletes the shuffle files of a statement when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -54,15 +58,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of a write go with it: nothing reads them again, and else they lie there until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder, in folders by the columns ``by``, and return a scan of it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if by:
-        # Partitions are evened out first: few files per folder, and no task with all of a hot one.
-        df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
-    else:
-        df.write.parquet(path)
+    with _no_shuffles_left(spark):
+        if by:
+            # Partitions are evened out first: few files per folder, and no task with all of a hot one.
+            df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+        else:
+            df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out.scratch_path = path
     return out
