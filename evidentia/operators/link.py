@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.identity import text_hash
@@ -54,15 +55,19 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
     """Decisions (``DECISION``) on ``rows``: ``source_id, line, text, hash, vec, candidates``.
 
     ``decision`` is duplicate, linked, new or pending. Texts of candidate ideas are joined in
-    before the fold, so that the fold reads no table. A row whose hash is not its text's waits.
+    before the fold, so that the fold reads no table; they travel once, to their source's group.
+    A row whose hash is not its text's waits.
     """
     rows = rows.withColumn("own_hash", text_hash(F.col("text")))
     known = stored_hashes.select("source_id", "hash").distinct().withColumn("stored", F.lit(True))
     each = rows.select("source_id", "line", F.inline_outer("candidates")).join(ideas.select("idea_id", F.col("text").alias("idea_text")), "idea_id", "left")
-    named = each.where(F.col("idea_id").isNotNull()).groupBy("source_id", "line").agg(F.sort_array(F.collect_list(F.struct("place", "idea_id", "idea_text"))).alias("named"))
-    full = rows.drop("candidates").join(named, ["source_id", "line"], "left").join(known, ["source_id", "hash"], "left")
+    named = each.where(F.col("idea_id").isNotNull() & F.col("source_id").isNotNull()).select(F.col("source_id").alias("of_source"), F.col("line").alias("of_line"), "place", "idea_id", "idea_text")
+    full = rows.drop("candidates").join(known, ["source_id", "hash"], "left")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        candidates: dict[int, list[tuple[str, str | None]]] = {}
+        for r in named.sort_values(["place", "idea_id"]).itertuples():
+            candidates.setdefault(r.of_line, []).append((r.idea_id, r.idea_text))
         seen, texts, out = set(), {}, []
         # Vectors and ideas of the rows placed so far.
         opened: list[str] = []
@@ -75,7 +80,7 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
             try:
                 if r.hash != r.own_hash:
                     raise ValueError("the staged hash is not that of the text")
-                stored = [(c["idea_id"], c["idea_text"]) for c in (r.named if r.named is not None else [])]
+                stored = candidates.get(r.line, [])
                 gone = [i for i, t in stored if t is None]
                 if gone:
                     raise LookupError(f"candidate {gone[0]} is not stored")
@@ -109,7 +114,7 @@ def link_batch(rows: DataFrame, ideas: DataFrame, stored_hashes: DataFrame, arbi
             out.append((r.source_id, r.line, f"th_{mark}", idea, "linked" if choice >= 0 else "new", None))
         return pd.DataFrame(out, columns=["source_id", "line", "thesis_id", "idea_id", "decision", "error"])
 
-    return full.groupBy("source_id").applyInPandas(fold, DECISION)
+    return full.groupBy("source_id").cogroup(named.groupBy("of_source")).applyInPandas(fold, DECISION)
 
 
 def join_across(decided: DataFrame, rows: DataFrame, order: DataFrame, arbiter: Arbiter) -> DataFrame:
@@ -122,15 +127,19 @@ def join_across(decided: DataFrame, rows: DataFrame, order: DataFrame, arbiter:
     new = materialise(new.select("idea_id", "source_id", "turn", "line", "text", "vec"), "opened")
     asked = new.select(F.col("idea_id").alias("query_id"), F.col("text").alias("query"), F.col("vec").alias("qvec"))
     hits = search.hybrid(new, new, asked, "idea_id", "text", "vec", WINDOW)
-    mine, theirs = new.select(F.col("idea_id").alias("query_id"), F.col("text").alias("own"), F.col("turn").alias("my_turn")), new.select("idea_id", "turn", F.col("text").alias("idea_text"))
+    mine, theirs = new.select(F.col("idea_id").alias("query_id"), F.col("turn").alias("my_turn")), new.select("idea_id", "turn")
     earlier = hits.select("query_id", "idea_id", "rank").join(mine, "query_id").join(theirs, "idea_id").where(F.col("turn") < F.col("my_turn"))
-    listed = earlier.groupBy("query_id", "own").agg(F.sort_array(F.collect_list(F.struct("rank", "idea_id", "idea_text"))).alias("c"))
+    # Texts come in last, for those candidates only that the arbiter is shown.
+    shown = earlier.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("n") <= CANDIDATES)
+    shown = shown.select("query_id", "idea_id", "rank").join(new.select("idea_id", F.col("text").alias("idea_text")), "idea_id")
+    listed = shown.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "idea_id", "idea_text"))).alias("c"))
+    listed = listed.join(new.select(F.col("idea_id").alias("query_id"), F.col("text").alias("own")), "query_id").select("query_id", "own", "c")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
-                some = list(r.c)[:CANDIDATES]
+                some = list(r.c)
                 try:
                     n = arbiter.choose(r.own, [{"idea_id": c["idea_id"], "text": c["idea_text"]} for c in some])
                 except Exception:  # noqa: BLE001 - without an answer the idea stays its own

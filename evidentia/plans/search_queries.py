@@ -11,7 +11,7 @@ from evidentia.functions.words import SPACE
 from evidentia.operators import graph, pairs, rank, search
 from evidentia.plans import model
 from evidentia.plans.model import sql
-from evidentia.scratch import materialise
+from evidentia.scratch import materialise, release
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -269,7 +269,8 @@ def link_batch(spark: SparkSession, d: str) -> DataFrame:
     index = model.index(spark, d).where("idea_id is not null").select("row_id", "thesis_id", "idea_id", "text")
     index = materialise(index.withColumn("vec", F.when(F.col("text").isNotNull(), encoded(F.col("text"), encoder))), "encoded")
     hits = search.hybrid(index, index, asked, "row_id", "text", "vec", 30).join(index.select("row_id", "idea_id", "thesis_id"), "row_id")
-    found = link.stored_candidates(hits.select("query_id", "idea_id", "thesis_id", F.col("rank").alias("pos")))
+    found = materialise(link.stored_candidates(hits.select("query_id", "idea_id", "thesis_id", F.col("rank").alias("pos"))), "candidates")
+    release(index)
     full = rows.join(found.join(asked.select("query_id", "source_id", "line"), "query_id").drop("query_id"), ["source_id", "line"], "left")
     stored = model.leaves(spark, d, "source_id", "text").select("source_id", text_hash(F.col("text")).alias("hash"))
     ideas = model.ideas(spark, d).select(F.col("id").alias("idea_id"), "text")
