@@ -51,6 +51,28 @@ def edge_targets(scored: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(known.select("query_id", "idea_id"), ["query_id", "idea_id"], "left_anti")
 
 
+def edge_topup(scored: DataFrame, edges: DataFrame, ideas: DataFrame, k: int) -> DataFrame:
+    """``query_id, idea_id, n``: the first ``k`` of ``edge_targets`` that are ideas, by first candidate and id. ``scored`` is read several times.
+
+    Of an idea's neighbours at most c are among the c candidates of a query. So its k + c smallest hold all that it can
+    add to the first k, and nothing that is first met after a candidate with so many neighbours is among them. What is
+    joined grows with the candidates, not with the neighbours of hot ideas, and the result is that of all neighbours.
+    """
+    most = scored.groupBy("query_id").count().agg(F.max("count").alias("most")).first().most or 0  # one row
+    smallest = W.partitionBy("source_id").orderBy("target_id")
+    known_ideas = ideas.select(F.col("idea_id").alias("target_id"))
+    near = edges.select("source_id", "target_id").join(known_ideas, "target_id", "left_semi").withColumn("nth", F.dense_rank().over(smallest)).where(F.col("nth") <= k + most)
+    near = materialise(near.select(F.col("source_id").alias("idea_id"), "target_id", "nth"), "near")
+    per_query = W.partitionBy("query_id")
+    known = scored.select("query_id", "idea_id", "position", (F.count("*").over(per_query) + k).alias("enough"))
+    walked = known.join(near.groupBy("idea_id").agg(F.max("nth").alias("degree")), "idea_id")
+    last = F.min(F.when(F.col("degree") >= F.col("enough"), F.col("position"))).over(per_query)
+    walked = walked.withColumn("last", last).where(F.col("position") <= F.coalesce("last", "position"))
+    met = walked.join(near, "idea_id").where(F.col("nth") <= F.col("enough")).groupBy("query_id", F.col("target_id").alias("idea_id")).agg(F.min("position").alias("first_at"))
+    met = met.join(scored.select("query_id", "idea_id"), ["query_id", "idea_id"], "left_anti")
+    return met.select("query_id", "idea_id", F.row_number().over(per_query.orderBy("first_at", "idea_id")).alias("n")).where(F.col("n") <= k)
+
+
 def retrieve(lifted: DataFrame, ideas: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, idea_id, score, raw_score, trust, via, rank``: the answer and, as ``cut_off``, what it left out.
 

@@ -182,9 +182,9 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_edge_topup(spark: SparkSession, d: str) -> DataFrame:
     lifted = materialise(_lifted(spark, d), "lifted")
     edges = graph.both_directions(graph.cocitation(model.leaves(spark, d, "id", "source_id", "idea_id")))
-    scored = rank.apply_quota(rank.score(lifted, model.scored_ideas(spark, d)), 5)
-    found = rank.edge_targets(scored, edges).join(model.scored_ideas(spark, d), "idea_id")
-    return found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("first_at"))).where("n <= 5").select("query_id", "idea_id", "n")
+    scored = materialise(rank.apply_quota(rank.score(lifted, model.scored_ideas(spark, d)), 5), "scored")
+    release(lifted)
+    return rank.edge_topup(scored, edges, model.scored_ideas(spark, d), 5)
 
 
 @query("""SELECT query_id, idea_id, thesis_id, best, hits, best * hits AS price, row_number() OVER (PARTITION BY query_id ORDER BY best * hits, best) AS place

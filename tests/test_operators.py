@@ -28,6 +28,47 @@ def test_quota_edges_and_padding(spark):
     assert rows[:6] == [("i0", "thesis"), ("i6", "thesis"), ("i7", "thesis"), ("i1", "padding"), ("i2", "padding"), ("i3", "cut_off")]
 
 
+def test_edge_topup_meets_few_neighbours_of_a_hub(spark, tmp_path, monkeypatch):
+    """Against brute force; what is shuffled must not grow as queries times the neighbours of a hub."""
+    from evidentia.plans import search_queries
+
+    rng = np.random.default_rng(8)
+    hub = [(f"s{s}", i) for s in range(300) for i in ["hub", *(f"i{s * 5 + n:04d}" for n in range(5))]]
+    leaves = [(f"t{n}", s, i) for n, (s, i) in enumerate([*hub, *((f"few{n}", f"i{m:04d}") for n in range(40) for m in rng.integers(0, 60, 3)), ("alone", "lonely")])]
+    ideas = [(i, "text", float(n % 5) / 4, None) for n, i in enumerate(sorted({i for _, _, i in leaves})) if n % 7 != 3]
+    spark.createDataFrame(leaves, "id string, source_id string, idea_id string").coalesce(1).write.parquet(f"{tmp_path}/thesis_out.parquet")
+    spark.createDataFrame(ideas, "id string, text string, trust_score double, updated_at string").coalesce(1).write.parquet(f"{tmp_path}/ideas.parquet")
+    some = [i for i, *_ in ideas if "i0" < i < "i01"]
+    asked = [(q, str(i), float(x)) for q in range(250) for i, x in zip(["hub", "lonely", *rng.choice(some, q % 30, replace=False)] if q % 10 else ["lonely", some[30]], rng.permutation(40))]
+    lifted = spark.createDataFrame(asked, "query_id long, idea_id string, raw_score double")
+    monkeypatch.setattr(search_queries, "_lifted", lambda *_: lifted)
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        every = context.statusStore().executorList(False)
+        return sum(every.apply(n).totalShuffleWrite() for n in range(every.length()))
+
+    before = shuffled()
+    got = _set(search_queries.QUERIES["retrieve_edge_topup"](spark, str(tmp_path)))
+    moved = shuffled() - before
+    near, known, of, want = {}, {i for i, *_ in ideas}, {}, set()
+    for _, s, i in leaves:
+        of.setdefault(s, set()).add(i)
+    for those in of.values():
+        for i in those:
+            near.setdefault(i, set()).update(those - {i})
+    for q in {q for q, *_ in asked}:
+        order = [i for *_, i in sorted((-x, i) for p, i, x in asked if p == q)]
+        first = {}
+        for p, i in enumerate(order):
+            for t in near[i] & known - set(order):
+                first.setdefault(t, p)
+        want |= {(q, t, n + 1) for n, t in enumerate(sorted(first, key=lambda t: (first[t], t))[:5])}
+    assert got == want
+    assert moved < 1_500_000
+
+
 def test_norm_of_equal_scores_is_one(spark):
     lifted = spark.createDataFrame([("q", "a", 0.3), ("q", "b", 0.3)], "query_id string, idea_id string, raw_score double")
     assert {r.norm for r in rank.minmax_norm(lifted).collect()} == {1.0}
